@@ -10,20 +10,19 @@ from tokenizers import pre_tokenizers
 
 #: Unicode White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A chunk never joins pieces of two chunks: the pre-tokenizer only takes one space along with what follows it,
-#: and white space runs are cut as it cuts them.
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Distinct chunks in one of the two generations that a Python worker remembers, and the longest chunk remembered.
+#: Distinct pieces in one of the two generations that a Python worker remembers, and the longest piece remembered.
 REMEMBERED, LONGEST = 400_000, 48
-#: Latin-1 letters and numbers. A chunk of Latin-1 is cut here; others are cut by the library, whose Unicode may differ.
+#: Latin-1 letters and numbers. A text of Latin-1 is cut here, by the published pattern of byte-level BPE; others are cut
+#: by the library, as its Unicode version decides what a letter is.
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{SPACE}{_L}{_N}]+|[{SPACE}]+")
+LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{SPACE}{_L}{_N}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class Vocabulary:
     """Merge ranks and ids of a byte-level BPE file of the tokenizers library.
 
-    ``merge`` maps a pair of ids to (rank, id of the joined symbol). ``bytes_of`` lists the bytes of each id.
+    A symbol is a byte, or 256 and an id. ``merge`` maps a pair of symbols to (rank, symbol that they become),
+    ``id_of`` a symbol to its id, and ``bytes_of`` an id to its bytes.
     """
 
     def __init__(self, path: str):
@@ -32,54 +31,55 @@ class Vocabulary:
         model = spec["model"]
         ids = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ids = ids
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        symbol = {t: byte_of[t] if t in byte_of else 256 + i for t, i in ids.items()}
+        self.id_of = [ids[c] for c in byte_symbols()] + list(range(len(ids) + 1))
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        made = {t: -1 for t in ids if len(t) == 1}
+        made = {t: -1 for t in byte_of}
         for rank, (a, b) in enumerate(pairs):
             if made.get(a, rank) >= rank or made.get(b, rank) >= rank:
                 raise ValueError(f"merge {rank} of {path} uses a symbol that no earlier merge makes")
             made.setdefault(a + b, rank)
-            self.merge[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merge[symbol[a], symbol[b]] = (rank, symbol[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in ids.items() if all(c in byte_of for c in t)}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.first = [ids[c] for c in byte_symbols()]
         self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
 
     def parts(self, text: str) -> list[str]:
         """Text and special tokens in turn; the special ones are at the odd places."""
         return self.special_at.split(text) if self.special_at and any(s in text for s in self.special) else [text]
 
-    def pieces(self, chunk: str) -> list[list[int]]:
-        """The pieces of a chunk, each as the ids of its bytes, before any merge."""
-        if chunk.isascii() or max(chunk) < "\u0100":
-            first = self.first
-            return [[first[b] for b in p.encode()] for p in LATIN.findall(chunk)]
-        return [[self.ids[c] for c in p] for p, _ in self.cut(chunk)]
+    def pieces(self, text: str) -> list[str]:
+        """The pieces within which symbols merge."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return [text[a:b] for _, (a, b) in self.cut(text)]
+        return LATIN.findall(text)
 
 
 class Memo(dict):
-    """Remembers make(chunk) in two generations of fixed size, so that frequent chunks stay and memory is bounded."""
+    """Remembers make(piece) in two generations of fixed size, so that frequent pieces stay and memory is bounded."""
 
     def __init__(self, make):
         super().__init__()
         self.make, self.old = make, {}
 
-    def __missing__(self, chunk: str):
-        value = self.old.get(chunk)
+    def __missing__(self, piece: str):
+        value = self.old.get(piece)
         if value is None:
-            value = self.make(chunk)
-        if len(chunk) <= LONGEST:
-            self.keep(chunk, value)
+            value = self.make(piece)
+        if len(piece) <= LONGEST:
+            self.keep(piece, value)
         return value
 
-    def keep(self, chunk: str, value) -> None:
+    def keep(self, piece: str, value) -> None:
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
-        self[chunk] = value
+        self[piece] = value
 
 
 def byte_symbols() -> str:

@@ -16,15 +16,15 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import CHUNK, LONGEST, Memo, Vocabulary, vocabulary
+from .bpe import LONGEST, Memo, Vocabulary, vocabulary
 from .common import arrow_pass, id_and_text
 
 #: Characters of text that share one index, unless a single text is longer.
 INDEXED = 4 << 20
 
 
-def encode_pieces(pieces: list[tuple[int, ...]], merge: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, ...]]:
-    """The ids of each piece, given as the ids of its bytes."""
+def encode_pieces(pieces: list[bytes], merge: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
+    """The symbols that are left of each piece."""
     symbols: list[int] = []
     for p in pieces:
         symbols += p
@@ -46,49 +46,52 @@ def encode_pieces(pieces: list[tuple[int, ...]], merge: dict[tuple[int, int], tu
             symbols[i], symbols[j] = new, -2
             k = after[i] = after[j]
             before[k] = i
+            if (near := (new, symbols[k])) in merge:
+                if at := positions.get(near):
+                    at.append(i)
+                else:
+                    positions[near] = [i]
+                    heappush(active, (*merge[near], near))
             h = before[i]
-            for at, near in ((i, (new, symbols[k])), (h, (symbols[h], new))):
-                if near in merge and at >= 0:
-                    if near not in positions:
-                        heappush(active, (*merge[near], near))
-                    positions[near].append(at)
+            if (near := (symbols[h], new)) in merge and h >= 0:
+                if at := positions.get(near):
+                    at.append(h)
+                else:
+                    positions[near] = [h]
+                    heappush(active, (*merge[near], near))
     out, start = [], 0
     for p in pieces:
         end = start + len(p)
-        out.append(tuple(s for s in symbols[start:end] if s >= 0))
+        out.append([s for s in symbols[start:end] if s >= 0])
         start = end + 1
     return out
 
 
-class ChunkIds(Memo):
-    """Ids by chunk; learn() encodes all that is new in one index."""
+class PieceIds(Memo):
+    """Ids by piece; learn() encodes all that is new in one index."""
 
     def __init__(self, vocab: Vocabulary):
-        super().__init__(lambda chunk: self.of_block([chunk])[0])
+        super().__init__(lambda piece: self.of_block([piece])[0])
         self.vocab = vocab
 
-    def of_block(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        cuts = [[tuple(p) for p in self.vocab.pieces(c)] for c in chunks]
-        distinct = list(dict.fromkeys(chain.from_iterable(cuts)))
-        ids = dict(zip(distinct, encode_pieces(distinct, self.vocab.merge)))
-        return [ids[cut[0]] if len(cut) == 1 else tuple(chain.from_iterable(ids[p] for p in cut)) for cut in cuts]
+    def of_block(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        id_of = self.vocab.id_of.__getitem__
+        return [tuple(map(id_of, x)) for x in encode_pieces([p.encode("utf-8", "surrogatepass") for p in pieces], self.vocab.merge)]
 
-    def learn(self, chunks: Iterable[str]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Those that are too long to be remembered are left to be encoded where they stand."""
-        new = [c for c in set(chunks) if c not in self and len(c) <= LONGEST]
-        fresh = [c for c in new if c not in self.old]
-        for c in new:
-            if c in self.old:
-                self.keep(c, self.old[c])
-        for c, ids in zip(fresh, self.of_block(fresh)):
-            self.keep(c, ids)
+        new = [p for p in pieces if p not in self and len(p) <= LONGEST]
+        known = [(p, self.old[p]) for p in new if p in self.old]
+        fresh = [p for p in new if p not in self.old]
+        for p, ids in chain(known, zip(fresh, self.of_block(fresh))):
+            self.keep(p, ids)
 
 
-def encode_texts(texts: list[str], known: ChunkIds) -> Iterator[list[int]]:
+def encode_texts(texts: list[str], known: PieceIds) -> Iterator[list[int]]:
     """The ids of each text, special strings included; the texts of a call share one index."""
     vocab = known.vocab
-    cuts = [[p if k % 2 else CHUNK.findall(p) for k, p in enumerate(vocab.parts(t))] for t in texts]
-    known.learn(chain.from_iterable(c for cut in cuts for c in cut[::2]))
+    cuts = [[p if k % 2 else vocab.pieces(p) for k, p in enumerate(vocab.parts(t))] for t in texts]
+    known.learn(set(chain.from_iterable(c for cut in cuts for c in cut[::2])))
     for cut in cuts:
         ids: list[int] = []
         for k, c in enumerate(cut):
@@ -126,7 +129,7 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     rows = id_and_text(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(vocabulary(vocab_path))
+        known = PieceIds(vocabulary(vocab_path))
         for batch in batches:
             at = 0
             for part in slices(batch.column("text").to_pylist()):
@@ -162,7 +165,7 @@ def codec_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        known, decimal = ChunkIds(vocab), {i: str(i) for i in vocab.bytes_of}
+        known, decimal = PieceIds(vocab), {i: str(i) for i in vocab.bytes_of}
         for batch in batches:
             n, coded, decoded = [], [], []
             for part in slices(batch.column("text").to_pylist()):

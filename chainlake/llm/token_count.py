@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, Memo, Vocabulary, vocabulary
+from .bpe import Memo, Vocabulary, vocabulary
 from .common import arrow_pass, id_and_text
 
 
@@ -44,19 +44,21 @@ def merges_made(symbols: list[int], merge: dict[tuple[int, int], tuple[int, int]
     return made
 
 
-def count_piece(symbols: list[int], merge: dict[tuple[int, int], tuple[int, int]]) -> int:
-    return len(symbols) - merges_made(symbols, merge)
+def count_piece(piece: str, merge: dict[tuple[int, int], tuple[int, int]]) -> int:
+    symbols = list(piece.encode("utf-8", "surrogatepass"))
+    n = len(symbols)
+    return n - merges_made(symbols, merge)
 
 
 class TokenCounter:
-    """Tokens of a text, by chunk; each chunk is counted when first met."""
+    """Tokens of a text; each distinct piece is counted when first met."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.memo = vocab, Memo(lambda chunk: sum(count_piece(p, vocab.merge) for p in vocab.pieces(chunk)))
+        self.vocab, self.memo = vocab, Memo(lambda piece: count_piece(piece, vocab.merge))
 
     def of(self, text: str) -> int:
         parts = self.vocab.parts(text)
-        return len(parts) // 2 + sum(sum(map(self.memo.__getitem__, CHUNK.findall(p))) for p in parts[::2])
+        return len(parts) // 2 + sum(sum(map(self.memo.__getitem__, self.vocab.pieces(p))) for p in parts[::2])
 
 
 def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
