@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows in one Arrow batch handed to Python; texts may be long, so the default of 10,000 is too many.
 ROWS_PER_BATCH = 1000
 #: An Arrow batch is closed early once it holds this many bytes.
@@ -17,10 +19,10 @@ BYTES_PER_BATCH = 16 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the memory of one Arrow batch (a session setting that may change at any time)."""
+    """Bounds the memory of one Arrow batch (a session setting that may change at any time), and ships the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

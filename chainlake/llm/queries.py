@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup, pii, quality, secret_scan, simhash, tiff, token_count, warc
+from . import bpe_codec, line_dedup, packing, pii, quality, secret_scan, simhash, tiff, token_count, warc
 from .common import id_and_text, table
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), window=2048)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), words=3, bits=64, radius=2)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -72,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_media, op2_token_counts, op3_bpe_codec, op4_warc_chunks, op5_pseudonyms, op7_simhash, op8_secret_scan, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_tiff_media, op2_token_counts, op3_bpe_codec, op4_warc_chunks, op5_pseudonyms, op6_packing, op7_simhash, op8_secret_scan, op9_quality, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc_chunks": """
@@ -85,10 +89,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM g""",
     "op10_line_dedup": r"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM d),
+        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
         k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
         f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM f)) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE key NOT IN (SELECT key FROM f)), '')) AS kept_sha256
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM f)), '')) AS kept_sha256
         FROM k GROUP BY doc_id""",
 }
