@@ -225,7 +225,7 @@ def near(fps: np.ndarray, sizes: list[int], radius: int) -> tuple[np.ndarray, np
     slot = (first_block[bucket] * 64) + np.arange(len(fps)) - first_row[bucket]
     wide = np.zeros((first_block[-1] * 64, bits), np.uint8)
     wide[slot] = raw
-    planes = np.packbits(wide.T, axis=1, bitorder="little").view(np.uint64)
+    planes = np.packbits(np.ascontiguousarray(wide.T), axis=1, bitorder="little").view(np.uint64)
     there = np.zeros(first_block[-1] * 64, np.uint8)
     there[slot] = 1
     lanes = np.packbits(there, bitorder="little").view(np.uint64)
