@@ -82,29 +82,28 @@ def entry_info(stamped_slots: DataFrame, marks: DataFrame) -> DataFrame:
     return last.join(marks, ID, "left").withColumn("stale_marked", F.col("stale_epoch").isNotNull())
 
 
-def first_checkpoint(rows: DataFrame, checkpoints: DataFrame, name: str) -> DataFrame:
-    """rows with ``name``: the first checkpoint (struct epoch, seq) after the row's position whose stamp reaches not_before.
+def first_checkpoint(rows: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """rows with ``by``: the first checkpoint (struct epoch, seq) after the row's position whose stamp reaches not_before.
 
-    rows have journal, epoch, seq, not_before (null: never). Stamps don't fall along a chain, so it is the later of two:
-    the first after the position, and the first whose stamp suffices. Each is an as-of lookup by a descending window
-    over the union of both sides: no product of entries and checkpoints.
+    rows and checkpoints have journal and lane (which checkpoints serve which rows), epoch, seq; rows have not_before.
+    Stamps don't fall along a chain, so it is the later of two: the first after the position, and the first whose stamp
+    suffices. Each is an as-of lookup by a descending window over the union of both sides, and its frame ends at the
+    current row: no product of entries and checkpoints, and no frame that looks ahead.
     """
-    marks = checkpoints.select("journal", position().alias("_at"), F.col("slot_ts_ms").alias("_ts"))
-    own = rows.where("not_before is not null")
-    by_place = _next(own, position(), marks, F.col("_at"), False, "_by_place")
+    marks = checkpoints.select("journal", "lane", position().alias("_at"), F.col("slot_ts_ms").alias("_ts"))
+    by_place = _next(rows, position(), marks, F.col("_at"), False, "_by_place")
     by_time = _next(by_place, F.col("not_before"), marks, F.col("_ts"), True, "_by_time")
     both = F.when(F.col("_by_place").isNotNull() & F.col("_by_time").isNotNull(), F.greatest("_by_place", "_by_time"))
-    found = by_time.withColumn(name, both).drop("_by_place", "_by_time")
-    never = rows.where("not_before is null").withColumn(name, F.lit(None).cast("struct<epoch: bigint, seq: bigint>"))
-    return found.unionByName(never)
+    return by_time.withColumn("by", both).drop("_by_place", "_by_time")
 
 
 def _next(rows: DataFrame, value: Column, marks: DataFrame, mark_value: Column, or_equal: bool, name: str) -> DataFrame:
-    """By journal, the least checkpoint whose value is beyond (or at) the row's."""
-    a = rows.withColumn("_row", F.struct(*rows.columns)).select("journal", value.alias("_v"), F.lit(1 if or_equal else 0).alias("_side"), "_row", F.lit(None).cast("struct<epoch: bigint, seq: bigint>").alias("_at"))
+    """The least checkpoint of the row's lane whose value is beyond (or at) the row's."""
+    nowhere = F.lit(None).cast("struct<epoch: bigint, seq: bigint>")
+    a = rows.select("journal", "lane", value.alias("_v"), F.lit(1 if or_equal else 0).alias("_side"), F.struct(*rows.columns).alias("_row"), nowhere.alias("_at"))
     # from high to low: at equal values a checkpoint stands before the rows that it may serve, and after the others
-    b = marks.select("journal", mark_value.alias("_v"), F.lit(0 if or_equal else 1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), "_at")
-    w = Window.partitionBy("journal").orderBy(F.desc("_v"), F.asc("_side"), F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    b = marks.select("journal", "lane", mark_value.alias("_v"), F.lit(0 if or_equal else 1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), "_at")
+    w = Window.partitionBy("journal", "lane").orderBy(F.desc("_v"), F.asc("_side"), F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
     seen = a.union(b).withColumn(name, F.last("_at", ignorenulls=True).over(w)).where("_row is not null")
     return seen.select("_row.*", name)
 
@@ -112,19 +111,19 @@ def _next(rows: DataFrame, value: Column, marks: DataFrame, mark_value: Column,
 def removals(info: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """By id the position of the checkpoint that removes the entry; ids that stay are left out.
 
-    ``info`` is entry_info(). ``checkpoints``: journal, epoch, seq, slot_ts_ms and stale_cleanup in force. A checkpoint covers
-    what stands before it. It removes what has expired under action delete; with cleanup delete also what is stale,
-    by its author's mark before the checkpoint or by its time. The first one that removes an entry counts.
+    ``info`` is entry_info(). ``checkpoints``: journal, epoch, seq, slot_ts_ms and stale_cleanup in force. A checkpoint
+    covers what stands before it. It removes what has expired under action delete; with cleanup delete also what is
+    stale, by its author's mark before the checkpoint or by its time. The first one that removes an entry counts.
     """
-    cleaning = checkpoints.where(F.col("stale_cleanup") == "delete")
-    base = info.select(*ID, "epoch", "seq", "expires_at_ms", "ttl_action", "stale_epoch", "stale_seq")
-    delete = base.withColumn("not_before", F.when(F.col("ttl_action") == "delete", F.col("expires_at_ms")))
-    fade = base.withColumn("not_before", F.when(F.col("ttl_action") == "mark_stale", F.col("expires_at_ms")))
-    # an author's mark stands after its target: the checkpoint must come after the mark
-    marked = base.where("stale_epoch is not null").withColumn("epoch", F.col("stale_epoch")).withColumn("seq", F.col("stale_seq")).withColumn("not_before", F.lit(0).cast("bigint"))
-    parts = [first_checkpoint(x.where("not_before is not null"), c, "by").select(*ID, "by") for x, c in ((delete, checkpoints), (fade, cleaning), (marked, cleaning))]
-    every = parts[0].union(parts[1]).union(parts[2]).where("by is not null")
-    return every.groupBy(*ID).agg(F.min("by").alias("by")).select(*ID, F.col("by.epoch").alias("removed_epoch"), F.col("by.seq").alias("removed_seq"))
+    lane = F.when(F.col("ttl_action") == "delete", "every").otherwise("cleaning")
+    by_time = F.struct(lane.alias("lane"), F.col("epoch"), F.col("seq"), F.col("expires_at_ms").alias("not_before"))
+    # an author's mark stands after its target: the checkpoint must come after the mark, at any time
+    by_mark = F.struct(F.lit("cleaning").alias("lane"), F.col("stale_epoch").alias("epoch"), F.col("stale_seq").alias("seq"), F.when(F.col("stale_marked"), F.lit(0).cast("bigint")).alias("not_before"))
+    causes = info.select(*ID, F.explode(F.filter(F.array(by_time, by_mark), lambda x: x["not_before"].isNotNull())).alias("c")).select(*ID, "c.*")
+    lanes = F.filter(F.array(F.lit("every"), F.when(F.col("stale_cleanup") == "delete", "cleaning")), lambda x: x.isNotNull())
+    served = checkpoints.select("journal", "epoch", "seq", "slot_ts_ms", F.explode(lanes).alias("lane"))
+    found = first_checkpoint(causes, served).where("by is not null")
+    return found.groupBy(*ID).agg(F.min("by").alias("by")).select(*ID, F.col("by.epoch").alias("removed_epoch"), F.col("by.seq").alias("removed_seq"))
 
 
 def removals_by_join(info: DataFrame, checkpoints: DataFrame) -> DataFrame:
