@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import ed25519, scalar
 from ..operators import chain, election, expiry, membership, merge, reads, settings, storage
-from ..schema import ID
+from ..schema import ID, SLOT_ROW
+from ..shipping import ship
+from ..sources import segment
+from ..streaming import live
 from . import fixture as fx
 from . import oracle as o
 
@@ -491,3 +498,107 @@ def merge_settle(spark, sf_dir):
 def reslot_no_ops(spark, sf_dir):
     s = fx.slots(spark, sf_dir).where("kind in ('settings', 'checkpoint')")
     return s.select("journal", "epoch", "seq", merge.is_reslot(F.col("author"), F.col("leader")).alias("no_op"))
+
+
+# --- streams and files: rows only ---------------------------------------------------------------------------------
+
+
+def _work(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/chainlake-engine/{what}-{uuid.uuid4().hex}"
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Writes rows, streams them through run() until nothing is left, and returns what came out."""
+    folder = _work(spark, name)
+    rows.write.parquet(f"{folder}/in")
+    out = run(live.slots_stream(spark, f"{folder}/in", rows.schema))
+    if mode == "append":
+        q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
+    else:
+        q = out.writeStream.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out/*" if mode != "append" else f"{folder}/out")
+
+
+@query(o.query(o.SLOTS, select=f"SELECT {PICKED} FROM slots WHERE journal = 'j1' AND (epoch > 1 OR seq >= 10)"))
+def follow_stream(spark, sf_dir):
+    rows = fx.slots(spark, sf_dir).select(*PICK)
+    return _streamed(spark, rows, "follow", lambda s: live.follow(s, "j1", (1, 10)))
+
+
+@query(o.query(o.SLOTS, select="SELECT journal, author, author_seq, entry_hash FROM slots"))
+def dedup_stream(spark, sf_dir):
+    s = fx.slots(spark, sf_dir).select(*ID, "entry_hash", "slot_ts_ms")
+    return _streamed(spark, s.union(s.where("author_seq % 3 = 0")), "dedup", live.deduplicated).select(*ID, "entry_hash")
+
+
+@query()
+def ttl_timer_stream(spark, sf_dir):
+    """What becomes stale or expired before the chain's last stamp."""
+    s = expiry.stamped(fx.in_force(spark, sf_dir)).select(*ID, "slot_ts_ms", "expires_at_ms", "ttl_action")
+    return _streamed(spark, s, "ttl", live.expiries)
+
+
+@query()
+def silence_stream(spark, sf_dir):
+    """Members as they fall silent for a day and are heard again, and those still silent at the end."""
+    h = fx.heartbeats(spark, sf_dir).select("cluster", "member", "heard_ms")
+    return _streamed(spark, h, "silence", lambda s: live.silence(s, 86400000), "update")
+
+
+def binary_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived journals in the binary form, with a real chain of hashes and zero signatures.
+
+    A chain is produced in sequence: one task a journal.
+    """
+    ship(spark)
+    s = fx.slots(spark, sf_dir)
+    pad = lambda c: F.unhex(F.lpad(F.hex(c.cast("bigint")), 32, "0"))
+    payload = F.col("payload").cast("binary")
+    rows = s.select(
+        F.unhex(F.substring(F.sha2(F.col("journal").cast("binary"), 256), 1, 32)).alias("journal"), "epoch", "seq", "slot_ts_ms", "kind", pad(F.col("author")).alias("author"), "author_seq",
+        F.col("slot_ts_ms").alias("author_ts_ms"), "ttl_ms", payload.alias("payload"), "payload_len", scalar.sha256(payload).alias("payload_hash"), F.lit(False).alias("payload_omitted"), pad(F.col("leader")).alias("leader"), F.lit(bytes(64)).alias("entry_sig"), F.lit(bytes(64)).alias("slot_sig"),
+    )
+    header = scalar.entry_header(*[F.col(c) for c in ("kind", "journal", "author", "author_seq", "author_ts_ms", "ttl_ms", "payload_len", "payload_hash", "entry_sig")])
+    rows = rows.withColumn("entry_hash", scalar.sha256(header))
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("epoch", "ascending"), ("seq", "ascending")])
+        prev, out = bytes(32), []
+        for r in group.select(["epoch", "seq", "slot_ts_ms", "entry_hash", "leader", "slot_sig"]).to_pylist():
+            out.append(prev)
+            prev = hashlib.sha256(segment.slot_bytes(r | {"prev_slot_hash": prev})).digest()
+        group = group.append_column("prev_slot_hash", pa.array(out, pa.binary()))
+        return group.select(segment.ROW_NAMES).cast(segment.ROW_SCHEMA)
+
+    return rows.groupBy("journal").applyInArrow(link, SLOT_ROW)
+
+
+@query(o.query(o.SLOTS, select="SELECT lower(substr(sha256(journal), 1, 32)) AS journal, epoch, seq, slot_ts_ms, kind, author_seq, ttl_ms, payload, payload_len FROM slots"))
+def segment_roundtrip(spark, sf_dir):
+    """Written as segment files and read back."""
+    folder = _work(spark, "segments")
+    segment.write_segments(binary_slots(spark, sf_dir), folder, 1 << 20)
+    back = segment.read_segments(spark, folder)
+    return back.select(scalar.hex_id(F.col("journal")).alias("journal"), "epoch", "seq", "slot_ts_ms", "kind", "author_seq", "ttl_ms", F.col("payload").cast("string").alias("payload"), "payload_len")
+
+
+@query()
+def binary_chain_verify(spark, sf_dir):
+    """The binary chain verified from the stored predecessors' hashes; no row is refused."""
+    b = binary_slots(spark, sf_dir)
+    h = scalar.sha256(scalar.slot_bytes(*[F.col(c) for c in ("epoch", "seq", "slot_ts_ms", "entry_hash", "prev_slot_hash", "leader", "slot_sig")]))
+    named = b.select(scalar.hex_id(F.col("journal")).alias("journal"), "epoch", "seq", "slot_ts_ms", scalar.hex_id(h).alias("slot_hash"), scalar.hex_id(F.col("prev_slot_hash")).alias("prev_slot_hash"))
+    return chain.continuity(named).groupBy("journal", "refusal").agg(F.count("*").alias("n"))
+
+
+@query()
+def signature_verify(spark, sf_dir):
+    """Signatures of a few statements by the regions' keys, each checked; every third is forged."""
+    region = fx.load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").cast("binary").alias("message"))
+    secret = lambda i: hashlib.sha256(str(i).encode()).digest()
+    signed = [(i, ed25519.public_key(secret(i)), ed25519.sign(secret(i), r["message"]) if i % 3 else bytes(64)) for i, r in ((r["id"], r) for r in region.collect())]
+    keys = spark.createDataFrame(signed, "id bigint, public_key binary, signature binary")
+    return ed25519.with_verdict(region.join(keys, "id"), "public_key", "message", "signature").select("id", "signature_ok")
