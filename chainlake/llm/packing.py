@@ -1,11 +1,12 @@
 """Lexical retrieval packing: sequences of a fixed length, filled by a document and its nearest unused neighbours.
 
-1. Every text is encoded once; the ids are written to the shared folder.
-2. Document frequencies of the token ids are counted over all documents. A table of the vocabulary's size (a fixed
-   bound) is all that reaches the driver.
-3. A document belongs with its most telling id (highest tf-idf). Tokens are summed by that id, and ids are laid out into
-   shards of about SHARD tokens: rare ids share a shard, a frequent one is split over as many as it needs by a hash of
-   the document. So a shard is bounded whatever the texts are, and holds texts that share their telling words.
+1. Every text is encoded once; its ids are written to the shared folder, along with its telling id: the one of highest
+   term frequency and rarity, as the vocabulary ranks it. Every task also writes the document frequencies of its rows.
+2. Document frequencies and the tokens of each telling id are summed. Tables of the vocabulary's size (a fixed bound)
+   are all that reaches the driver.
+3. Telling ids are laid out into shards of about SHARD tokens: rare ones share a shard, a frequent one is split over as
+   many as it needs by a hash of the document. So a shard is bounded whatever the texts are, and holds texts that share
+   their telling words.
 4. Each shard builds its BM25 inverted index. A seed document's best ids are looked up, and its unused neighbours, best
    first, fill the window. What doesn't fit is cut and seeds the next window, so only a shard's last window is short.
 """
@@ -15,17 +16,16 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST, SPACE, Memo
+from .bpe import SPACE, Memo, byte_symbols
 from .common import arrow_pass, id_and_text, materialise
 
 WINDOW = 2048
@@ -38,6 +38,20 @@ K1, B, QUERY_IDS = 1.2, 0.75, 12
 
 #: White space separates words, and is dropped, so texts are encoded word by word.
 WORD = re.compile(f"[^{SPACE}]+")
+#: In lower-case Latin-1, words are cut further, by the tokenizer's own pattern: letters, one digit, other marks.
+_L, _N = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = re.compile(f"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^{SPACE}{_L}{_N}]+")
+LETTERS = re.compile(f"[{_L}]+").fullmatch
+
+
+def pieces(text: str) -> list[str]:
+    """Parts of a text that are encoded by themselves. Lower-casing Latin-1 and composing it are what the tokenizer does
+    too; other texts, and texts that may hold a special token, are left to it word by word."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORD.findall(text)
+    return WORD.findall(text) if "<|" in text else PIECE.findall(text.lower())
 
 
 @lru_cache(maxsize=2)
@@ -51,19 +65,24 @@ def tokenizer(path: str):
     return t
 
 
-class WordIds(Memo):
-    """Ids by word, by the tokenizers library; learn() encodes what is new in one call."""
+class PieceIds(Memo):
+    """Ids by piece, as bytes, by the tokenizers library.
+
+    A run of lower-case Latin-1 letters is one word to the tokenizer and stays as it is, so it goes to the library's
+    merges at once; all else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path).encode_batch_fast
-        super().__init__(lambda word: tuple(self.encode([word], add_special_tokens=False)[0].ids))
+        whole, merges, self.kind = tokenizer(path).encode, tokenizer(path).model.tokenize, width_of(path)
+        stand_in, code = dict(enumerate(byte_symbols())), "H" if self.kind == "<u2" else "I"
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self and len(w) <= LONGEST]
-        fresh = [w for w in new if w not in self.old]
-        known = [(w, self.old[w]) for w in new if w in self.old]
-        for w, x in chain(known, zip(fresh, (tuple(e.ids) for e in self.encode(fresh, add_special_tokens=False)))):
-            self.keep(w, x)
+        def encode(piece: str) -> bytes:
+            if not LETTERS(piece):
+                return array(code, whole(piece, add_special_tokens=False).ids).tobytes()
+            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(stand_in)
+            return array(code, [t.id for t in merges(word)]).tobytes()
+
+        super().__init__(encode)
 
 
 def width_of(path: str) -> str:
@@ -72,82 +91,71 @@ def width_of(path: str) -> str:
 
 
 def encoded(df: DataFrame, vocab_path: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian) of every row, END_ID included; written."""
+    """doc_id, ids (binary, little-endian, END_ID included), n_tokens, telling of every row; written.
+
+    Rows without ids hold what a task has counted: ``df``, pairs of (id, documents) as 64-bit numbers.
+    """
     rows = id_and_text(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, kind = WordIds(vocab_path), width_of(vocab_path)
+        memo = PieceIds(vocab_path)
+        end, n_vocab = np.array([END_ID], memo.kind).tobytes(), tokenizer(vocab_path).get_vocab_size(with_added_tokens=True)
+        rank, seen = np.log1p(np.arange(n_vocab)), np.zeros(n_vocab, np.int64)
+        names, doc_type = ["doc_id", "ids", "n_tokens", "telling", "df"], None
         for batch in batches:
-            cuts = [WORD.findall(t.as_py()) for t in batch.column("text")]
-            memo.learn(set(chain.from_iterable(cuts)))
-            ids = [np.array([*chain.from_iterable(map(memo.__getitem__, c)), END_ID], kind).tobytes() for c in cuts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return materialise(arrow_pass(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary"), "packing-ids")
-
-
-def document_frequencies(ids: DataFrame, kind: str, n_vocab: int) -> tuple[np.ndarray, int, int]:
-    """By id the number of documents that have it; the number of documents; that of tokens.
-
-    Every task adds up its rows and returns n_vocab + 2 rows at most.
-    """
+            doc_type = batch.schema.field("doc_id").type
+            ids, tokens, telling = [], [], []
+            for t in batch.column("text"):
+                raw = b"".join(map(memo.__getitem__, pieces(t.as_py()))) + end
+                x = np.frombuffer(raw, memo.kind)
+                terms, tf = np.unique(x[:-1], return_counts=True)
+                seen[terms] += 1
+                seen[END_ID] += END_ID not in terms[:2]
+                ids.append(raw)
+                tokens.append(len(x))
+                telling.append(int(terms[np.argmax(tf / (tf + K1) * rank[terms])]) if len(terms) else END_ID)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(telling, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
+        if doc_type is not None:
+            at = np.flatnonzero(seen)
+            counted = np.stack([at, seen[at]], 1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counted], pa.binary())], names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return materialise(arrow_pass(rows, run, f"doc_id {kind}, ids binary, n_tokens long, telling long, df binary"), "packing-ids")
+
+
+def document_frequencies(table: DataFrame, n_vocab: int) -> np.ndarray:
+    """By id the number of documents that have it. Tasks add up and return n_vocab rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(n_vocab + 2, np.int64)
+        n = np.zeros(n_vocab, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                x = np.frombuffer(raw.as_buffer(), kind)
-                df[np.unique(x)] += 1
-                df[n_vocab] += 1
-                df[n_vocab + 1] += len(x)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
-
-    out = np.zeros(n_vocab + 2, np.int64)
-    for r in arrow_pass(ids.select("ids"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
-    return out[:n_vocab], int(out[n_vocab]), int(out[n_vocab + 1])
-
+            for raw in batch.column("df"):
+                at, k = np.frombuffer(raw.as_py(), "<i8").reshape(-1, 2).T
+                n[at] += k
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
-def telling_id(x: np.ndarray, idf: np.ndarray) -> int:
-    """The id of highest tf-idf; the smallest on ties."""
-    terms, tf = np.unique(x[:-1], return_counts=True)
-    return int(terms[np.argmax(tf / (tf + K1) * idf[terms])]) if len(terms) else int(x[-1])
+    out = np.zeros(n_vocab, np.int64)
+    for r in arrow_pass(table.where("df is not null").select("df"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
 
 
-def layout(tokens: np.ndarray, shard: int) -> tuple[np.ndarray, np.ndarray]:
+def layout(tokens: dict[int, int], shard: int) -> list[tuple[int, int, int]]:
     """By telling id its first shard and the number of its shards."""
-    first, splits = np.zeros(len(tokens), np.int64), np.ones(len(tokens), np.int64)
-    at, held = 0, 0
-    for t in np.flatnonzero(tokens):
-        n = int(tokens[t])
+    out, at, held = [], 0, 0
+    for t, n in sorted(tokens.items()):
         if n > shard:
             at += held > 0
-            first[t], splits[t] = at, -(-n // shard)
-            at, held = at + int(splits[t]), 0
+            splits = -(-n // shard)
+            out.append((t, at, splits))
+            at, held = at + splits, 0
             continue
         if held + n > shard:
             at, held = at + 1, 0
-        first[t] = at
+        out.append((t, at, 1))
         held += n
-    return first, splits
-
-
-def token_sums(ids: DataFrame, kind: str, idf: np.ndarray) -> np.ndarray:
-    """Tokens of the documents by telling id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(idf), np.int64)
-        for batch in batches:
-            for raw in batch.column("ids"):
-                x = np.frombuffer(raw.as_buffer(), kind)
-                n[telling_id(x, idf)] += len(x)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
-
-    out = np.zeros(len(idf), np.int64)
-    for r in arrow_pass(ids.select("ids"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
     return out
 
 
@@ -221,26 +229,22 @@ def pack(df: DataFrame, vocab_path: str, window: int = WINDOW, shard: int = SHAR
     same piece twice. Ties go to the document that comes first by id and ids. An empty table gives an empty result.
     Other columns are not read. sequence_id is unique over all shards; the same input gives the same sequences.
     """
-    ids = encoded(df, vocab_path, id_col, text_col)
+    spark = df.sparkSession
+    table = encoded(df, vocab_path, id_col, text_col)
     kind, n_vocab = width_of(vocab_path), tokenizer(vocab_path).get_vocab_size(with_added_tokens=True)
-    df_of, n_docs, n_tokens = document_frequencies(ids, kind, n_vocab)
+    docs = table.where("ids is not null").select("doc_id", "ids", "n_tokens", "telling")
+    sums = docs.groupBy("telling").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()  # n_vocab rows at most
+    n_docs, n_tokens = sum(r["docs"] for r in sums), sum(r["tokens"] for r in sums)
+    df_of = document_frequencies(table, n_vocab)
     idf = np.log1p((n_docs - df_of + 0.5) / (df_of + 0.5))
     mean = n_tokens / max(n_docs, 1)
-    first, splits = layout(token_sums(ids, kind, idf), shard)
-    sc = ids.sparkSession.sparkContext
-    shared = sc.broadcast((idf, first, splits))  # three numbers for each id of the vocabulary
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, first, splits = shared.value
-        for batch in batches:
-            shards = []
-            for doc_id, raw in zip(batch.column("doc_id"), batch.column("ids")):
-                t = telling_id(np.frombuffer(raw.as_buffer(), kind), idf)
-                shards.append(int(first[t]) + xxhash.xxh64_intdigest(repr(doc_id.as_py()).encode()) % int(splits[t]))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"])
+    shared = spark.sparkContext.broadcast(idf)  # a number for each id of the vocabulary
+    places = spark.createDataFrame(layout({r["telling"]: r["tokens"] for r in sums}, shard), "telling long, first long, splits long")
+    salt = F.pmod(F.xxhash64("doc_id", "ids"), F.col("splits"))
+    dealt = docs.join(F.broadcast(places), "telling").select((F.col("first") + salt).alias("shard"), "doc_id", "ids")
 
     def pack_shard(group: pa.Table) -> pa.Table:
-        idf = shared.value[0]
+        idf = shared.value
         rows = sorted(zip(group.column("doc_id").to_pylist(), group.column("ids").to_pylist()), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
         docs = [np.frombuffer(r[1], kind) for r in rows]
         index = Shard(docs, idf, mean)
@@ -249,6 +253,5 @@ def pack(df: DataFrame, vocab_path: str, window: int = WINDOW, shard: int = SHAR
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.Table.from_arrays([pa.array(c, group.schema.field("doc_id").type if k == 0 else pa.int64()) for k, c in enumerate(zip(*out))], names)
 
-    doc_kind = ids.schema["doc_id"].dataType.simpleString()
-    dealt = arrow_pass(ids, deal, f"shard long, doc_id {doc_kind}, ids binary")
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").applyInArrow(pack_shard, f"doc_id {doc_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
