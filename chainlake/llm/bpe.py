@@ -11,7 +11,7 @@ from tokenizers import pre_tokenizers
 #: Unicode White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Distinct pieces in one of the two generations that a Python worker remembers, and the longest piece remembered.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 #: Latin-1 letters and numbers. A text of Latin-1 is cut here, by the published pattern of byte-level BPE; others are cut
 #: by the library, as its Unicode version decides what a letter is.
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"

@@ -35,6 +35,8 @@ END_ID = 1
 SHARD = 1 << 20
 #: BM25's usual parameters. A query takes so many of the seed's ids.
 K1, B, QUERY_IDS = 1.2, 0.75, 12
+#: Neighbours that are ranked at once.
+SOON = 32
 
 #: White space separates words, and is dropped, so texts are encoded word by word.
 WORD = re.compile(f"[^{SPACE}]+")
@@ -171,20 +173,30 @@ class Shard:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
         self.terms, starts = np.unique(term, return_index=True)
         self.starts = np.append(starts, len(term))
-        by_doc = np.lexsort((term, -self.weight, self.doc))
-        cut = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
-        slot = np.searchsorted(self.terms, term)
-        self.best = [slot[by_doc[a : min(a + QUERY_IDS, b)]] for a, b in zip(cut, cut[1:])]
+        self.slot = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        self.by_doc = np.argsort(self.doc.astype(np.uint16 if self.n <= 1 << 16 else np.int64), kind="stable")
+        self.cut = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """The unused documents that share one of the seed's best ids, best first."""
+    def best(self, doc: int) -> np.ndarray:
+        """The places of a document's ids of highest weight."""
+        own = self.by_doc[self.cut[doc] : self.cut[doc + 1]]
+        return self.slot[own[np.argsort(-self.weight[own], kind="stable")[:QUERY_IDS]]]
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """The unused documents that share one of the seed's best ids, best first, the first on ties."""
         score = np.zeros(self.n)
-        for s in self.best[seed]:
+        for s in self.best(seed):
             a, b = self.starts[s], self.starts[s + 1]
             score[self.doc[a:b]] += self.weight[a:b]
         score[used] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        if len(found) > 2 * SOON:  # a window takes a few; the others are sorted only if they are asked for
+            least = np.partition(score[found], len(found) - SOON)[len(found) - SOON]
+            parts = found[score[found] >= least], found[score[found] < least]
+        else:
+            parts = (found,)
+        for part in parts:
+            yield from part[np.argsort(-score[part], kind="stable")].tolist()
 
 
 def fill(index: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -192,16 +204,13 @@ def fill(index: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     used = np.zeros(index.n, bool)
     free = 0  # documents before it are used
     sequence = offset = 0
-    queue: list[int] = []
+    queue: Iterator[int] = iter(())
     doc, start = -1, 0
     seed = -1
     while True:
         if doc < 0:
-            while queue and used[queue[-1]]:
-                queue.pop()
-            if queue:
-                doc = queue.pop()
-            else:
+            doc = next((d for d in queue if not used[d]), -1)
+            if doc < 0:
                 while free < index.n and used[free]:
                     free += 1
                 if free == index.n:
@@ -209,7 +218,7 @@ def fill(index: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
                 doc = free
             used[doc], start = True, 0
         if not offset:
-            seed, queue = doc, []
+            seed, queue = doc, iter(())
         n = min(len(index.docs[doc]) - start, window - offset)
         yield doc, start, n, sequence, offset
         start, offset = start + n, offset + n
@@ -217,7 +226,7 @@ def fill(index: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
         if offset == window:
             sequence, offset = sequence + 1, 0
         elif done and doc == seed:
-            queue = index.neighbours(seed, used)[::-1].tolist()
+            queue = index.neighbours(seed, used)
         if done:
             doc = -1
 
