@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spare
 
 #: The white space of a line's ends, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -68,14 +68,15 @@ def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = 1, id_co
     texts = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"))
     frequent = materialise(frequent_lines(texts, threshold, least), "frequent-lines")
     gone = materialise(dropped_lines(texts, frequent, least), "dropped-lines")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("gone").alias("_gone"))
+    own_id, own_t1, own_t2, own_gone = (spare(f"_{x}", df.columns) for x in ("id", "t1", "t2", "gone"))
+    gone = gone.select(F.col("doc_id").alias(own_id), F.col("t1").alias(own_t1), F.col("t2").alias(own_t2), F.col("gone").alias(own_gone))
     whole = df.withColumn(text_col, text)
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_t1")) & (F.xxhash64(F.lit("text"), text_col) == F.col("_t2"))
+    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_t1)) & (F.xxhash64(F.lit("text"), text_col) == F.col(own_t2))
     split = lines_of(F.col(text_col))
-    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own_gone))
     # the outer transform binds the split lines, which else would be split again for each of them
     put_together = F.transform(F.array(split), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(put_together)
-    joined = whole.join(gone, on, "left").withColumn("n_lines", F.size(split).cast("long"))
-    joined = joined.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn(text_col, kept)
-    return joined.select(*[c for c in df.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    kept = F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(put_together)
+    counts = {"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size(own_gone), F.lit(0)).cast("long")}
+    texts_and_rest = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in counts]
+    return whole.join(gone, on, "left").select(*texts_and_rest, *[v.alias(k) for k, v in counts.items()])

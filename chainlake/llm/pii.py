@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 #: Stands for the owner's secret; a production run passes its own.
 KEY = "set-your-own-key"
 ROUNDS = 8
@@ -185,7 +187,8 @@ def pseudonymise(df: DataFrame, key: str = KEY, text_col: str = "text", counts:
 
     done = F.when(text.rlike(ANY), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced))
     names = [f"n_{k}" for k in KINDS] if counts else []
-    out = df.withColumn("_chainlake_pii", done)
-    out = out.withColumn(text_col, F.coalesce(F.col("_chainlake_pii.text"), text))
-    number = lambda k: F.coalesce(F.size(F.filter("_chainlake_pii.kinds", lambda x: x == k)), F.lit(0)).cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[number(k).alias(n) for k, n in zip(KINDS, names)])
+    own = spare("_pii", df.columns)
+    number = lambda k: F.coalesce(F.size(F.filter(F.col(own)["kinds"], lambda x: x == k)), F.lit(0)).cast("long")
+    new = F.coalesce(F.col(own)["text"], text).alias(text_col)
+    rest = [new if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.withColumn(own, done).select(*rest, *[number(k).alias(n) for k, n in zip(KINDS, names)])

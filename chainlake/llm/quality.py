@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spare
 
 #: What separates words, and what counts as a symbol.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -135,8 +135,10 @@ def judge_documents(df: DataFrame, labels: DataFrame, threshold: float = THRESHO
     w = weights(texts, trusted)
     counts = base_counts(text)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    old = [F.col(f"`{c}`") for c in df.columns if c not in new]
-    out = df.select(*old, *[c.alias(f"_chainlake{n}" if n == "_counts" else n) for n, c in counts.items()], score(text, w).alias("llr"))
-    out = out.select(*old, F.col("_chainlake_counts.n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_chainlake_counts.n_repeat_words"), "llr")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(*old, *new)
+    old = [c for c in df.columns if c not in new]
+    own = spare("_counts", df.columns)
+    plain = [F.col(f"`{c}`") for c in old]
+    out = df.select(*plain, *[c.alias(own if n == "_counts" else n) for n, c in counts.items()], score(text, w).alias("llr"))
+    n_words, n_repeat = F.col(own)["n_words"], F.col(own)["n_repeat_words"]
+    failed = (n_words < LEAST_WORDS) | (100 * n_repeat > MOST_REPEATED * n_words)
+    return out.select(*plain, n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", n_repeat.alias("n_repeat_words"), failed.alias("base_failed"), "llr", (~failed & (F.col("llr") >= threshold)).alias("kept"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, id_and_text, materialise
+from .common import arrow_pass, id_and_text, materialise, spare
 
 SEED = 42
 #: Fingerprints compared with each other at most; beyond, a bucket is dealt again.
@@ -380,6 +380,7 @@ def one_of_each(df: DataFrame, words: int = 5, bits: int = 256, radius: int = 46
     """
     found = groups(df, words, bits, radius, id_col, text_col)
     stay: Column = found["doc_id"] == found["component_id"]
-    keep = materialise(found.where(stay).select(F.col("doc_id").alias("_chainlake_id")).distinct(), "kept-ids")
-    named = df.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_chainlake_id"), "left_semi").dropDuplicates([id_col])
+    own = spare("_id", df.columns)
+    keep = materialise(found.where(stay).select(F.col("doc_id").alias(own)).distinct(), "kept-ids")
+    named = df.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
     return named.unionByName(df.where(F.col(id_col).isNull()))
