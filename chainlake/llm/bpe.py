@@ -72,7 +72,10 @@ class Memo(dict):
         if value is None:
             value = self.make(piece)
         if len(piece) <= LONGEST:
-            self.keep(piece, value)
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = value
         return value
 
     def keep(self, piece: str, value) -> None:

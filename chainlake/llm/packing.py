@@ -46,14 +46,28 @@ PIECE = re.compile(f"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^{SPACE}{_L}{_N}]+")
 LETTERS = re.compile(f"[{_L}]+").fullmatch
 
 
+LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+
+
 def pieces(text: str) -> list[str]:
     """Parts of a text that are encoded by themselves. Lower-casing Latin-1 and composing it are what the tokenizer does
     too; other texts, and texts that may hold a special token, are left to it word by word."""
+    if "<|" in text:
+        return WORD.findall(text)
+    if text.isascii():
+        return PIECE.findall(text.lower())
     try:
-        text.encode("latin-1")
+        raw = text.encode("latin-1")
     except UnicodeEncodeError:
         return WORD.findall(text)
-    return WORD.findall(text) if "<|" in text else PIECE.findall(text.lower())
+    return PIECE.findall(raw.translate(LOWER).decode("latin-1"))  # faster than lower(), which looks up each character
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and how often each occurs."""
+    x = np.sort(x)
+    last = np.flatnonzero(np.append(x[1:] != x[:-1], True)) if len(x) else np.empty(0, np.int64)
+    return x[last], np.diff(last, prepend=-1)
 
 
 @lru_cache(maxsize=2)
@@ -79,10 +93,11 @@ class PieceIds(Memo):
         stand_in, code = dict(enumerate(byte_symbols())), "H" if self.kind == "<u2" else "I"
 
         def encode(piece: str) -> bytes:
-            if not LETTERS(piece):
-                return array(code, whole(piece, add_special_tokens=False).ids).tobytes()
-            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(stand_in)
-            return array(code, [t.id for t in merges(word)]).tobytes()
+            if piece.isalpha() and piece.isascii() and piece.islower():
+                return array(code, [t.id for t in merges(piece)]).tobytes()
+            if LETTERS(piece):
+                return array(code, [t.id for t in merges(piece.encode().decode("latin-1").translate(stand_in))]).tobytes()
+            return array(code, whole(piece, add_special_tokens=False).ids).tobytes()
 
         super().__init__(encode)
 
@@ -110,7 +125,7 @@ def encoded(df: DataFrame, vocab_path: str, id_col: str, text_col: str) -> DataF
             for t in batch.column("text"):
                 raw = b"".join(map(memo.__getitem__, pieces(t.as_py()))) + end
                 x = np.frombuffer(raw, memo.kind)
-                terms, tf = np.unique(x[:-1], return_counts=True)
+                terms, tf = counted(x[:-1])
                 seen[terms] += 1
                 seen[END_ID] += END_ID not in terms[:2]
                 ids.append(raw)
@@ -167,9 +182,9 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.docs, self.n = docs, len(docs)
         lengths = np.array([len(d) for d in docs])
-        terms = np.concatenate(docs).astype(np.int64) * self.n + np.repeat(np.arange(self.n), lengths)
-        keys, tf = np.unique(terms, return_counts=True)
-        term, self.doc = keys // self.n, keys % self.n
+        kind = np.uint32 if self.n << 16 < 1 << 32 and docs[0].dtype.itemsize == 2 else np.int64
+        keys, tf = counted(np.concatenate(docs).astype(kind) * kind(self.n) + np.repeat(np.arange(self.n, dtype=kind), lengths))
+        term, self.doc = keys // kind(self.n), (keys % kind(self.n)).astype(np.int64)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
         self.terms, starts = np.unique(term, return_index=True)
         self.starts = np.append(starts, len(term))
