@@ -34,6 +34,8 @@ BUCKET = 1024
 RECALL, AIM = 0.97, 96
 #: (query, block) pairs in one step of the comparison.
 STEP = 1 << 15
+#: Over so many parts the edges of one node are spread.
+SALTS = 16
 #: Rounds of component search at most; each at least halves the longest path, so this is never reached.
 MOST_ROUNDS = 60
 
@@ -330,6 +332,17 @@ def links(fps: DataFrame, bits: int, radius: int) -> DataFrame:
 # --- components ---------------------------------------------------------------------------------------------------
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """a, b, m: the edges and the least b of each a.
+
+    Minima are taken by (a, salt), and joined by (a, salt), so that the hub of a large group is spread over tasks.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts")).select("a", "m", F.explode("salts").alias("salt"))
+    return salted.join(least, ["a", "salt"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for every node of the edges (a, b) the smallest node that they connect it with.
 
@@ -340,10 +353,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     for _ in range(MOST_ROUNDS):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a > b").distinct()
+        low = with_least(large)
+        small = low.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         now = materialise(small.where("a > b").distinct(), "edges")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
