@@ -63,7 +63,7 @@ def pieces(text: str) -> list[str]:
     return PIECE.findall(raw.translate(LOWER).decode("latin-1"))  # faster than lower(), which looks up each character
 
 
-def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tally(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values, ascending, and how often each occurs."""
     x = np.sort(x)
     last = np.flatnonzero(np.append(x[1:] != x[:-1], True)) if len(x) else np.empty(0, np.int64)
@@ -125,7 +125,7 @@ def encoded(df: DataFrame, vocab_path: str, id_col: str, text_col: str) -> DataF
             for t in batch.column("text"):
                 raw = b"".join(map(memo.__getitem__, pieces(t.as_py()))) + end
                 x = np.frombuffer(raw, memo.kind)
-                terms, tf = counted(x[:-1])
+                terms, tf = tally(x[:-1])
                 seen[terms] += 1
                 seen[END_ID] += END_ID not in terms[:2]
                 ids.append(raw)
@@ -183,7 +183,7 @@ class Shard:
         self.docs, self.n = docs, len(docs)
         lengths = np.array([len(d) for d in docs])
         kind = np.uint32 if self.n << 16 < 1 << 32 and docs[0].dtype.itemsize == 2 else np.int64
-        keys, tf = counted(np.concatenate(docs).astype(kind) * kind(self.n) + np.repeat(np.arange(self.n, dtype=kind), lengths))
+        keys, tf = tally(np.concatenate(docs).astype(kind) * kind(self.n) + np.repeat(np.arange(self.n, dtype=kind), lengths))
         term, self.doc = keys // kind(self.n), (keys % kind(self.n)).astype(np.int64)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
         self.terms, starts = np.unique(term, return_index=True)
