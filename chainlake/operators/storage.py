@@ -6,14 +6,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import record_bytes
-from ..schema import ID, QUEUE_BYTES
+from ..schema import ENTRY_HEADER_BYTES, ID, QUEUE_BYTES, RECORD_PREFIX_BYTES
 from ..shipping import ship
 from .reads import Position, at_or_before
 
+#: What a queued entry takes besides its payload.
+QUEUE_OVERHEAD = RECORD_PREFIX_BYTES + ENTRY_HEADER_BYTES
+
 
 def truncate(slots: DataFrame, journal, last: Position) -> DataFrame:
     """The journal up to a position, the other journals as they are."""
@@ -36,14 +39,25 @@ def compact(slots: DataFrame, removed: DataFrame, retain: str = "header") -> Dat
 
 
 def queue_gate(queue: DataFrame, limit: int = QUEUE_BYTES) -> DataFrame:
-    """Queued entries with ``accepted``: whether they fit into the queue's bytes when they arrive.
+    """journal, arrival, accepted, queued_bytes: whether each entry fits into its journal's queue when it arrives.
 
-    Arrivals are those of one burst: once the sum is over the limit the queue is full until something is taken out.
+    An entry that is refused takes no room, so later ones may still fit: a fold over the sizes in order of arrival, per
+    journal and without payloads. ``queue`` has journal, arrival, payload_len.
     """
-    size = F.col("payload_len") + 172
-    w = Window.partitionBy("journal").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    out = queue.withColumn("queued_bytes", F.sum(size).over(w))
-    return out.withColumn("accepted", F.col("queued_bytes") <= limit)
+    ship(queue.sparkSession)
+
+    def gate(group: pa.Table) -> pa.Table:
+        group = group.sort_by("arrival")
+        accepted, queued, used = [], [], 0
+        for size in group.column("payload_len").to_pylist():
+            fits = used + size + QUEUE_OVERHEAD <= limit
+            used += (size + QUEUE_OVERHEAD) * fits
+            accepted.append(fits)
+            queued.append(used)
+        return pa.Table.from_arrays([group.column("journal"), group.column("arrival"), pa.array(accepted, pa.bool_()), pa.array(queued, pa.int64())], ["journal", "arrival", "accepted", "queued_bytes"])
+
+    kind = queue.schema["journal"].dataType.simpleString()
+    return queue.select("journal", "arrival", "payload_len").groupBy("journal").applyInArrow(gate, f"journal {kind}, arrival bigint, accepted boolean, queued_bytes bigint")
 
 
 def unslotted(queue: DataFrame, slots: DataFrame) -> DataFrame:

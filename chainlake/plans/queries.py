@@ -259,9 +259,16 @@ def truncate_prefix(spark, sf_dir):
     return storage.truncate(fx.slots(spark, sf_dir), "j2", (2, 15)).select(*PICK)
 
 
-@query(o.query(o.SLOTS, "q AS (SELECT journal, event_id AS arrival, author, author_seq, payload_len, CAST(sum(payload_len + 172) OVER (PARTITION BY journal ORDER BY event_id) AS BIGINT) AS queued_bytes FROM slots WHERE epoch = 3)", select="SELECT *, queued_bytes <= 5000 AS accepted FROM q"))
+@query(
+    o.query(
+        o.SLOTS,
+        "q AS (SELECT journal, event_id AS arrival, payload_len + 172 AS size, row_number() OVER (PARTITION BY journal ORDER BY event_id) AS n FROM slots WHERE epoch = 3)",
+        "g AS (SELECT journal, arrival, n, CASE WHEN size <= 5000 THEN size ELSE 0 END AS used, size <= 5000 AS accepted FROM q WHERE n = 1 UNION ALL SELECT q.journal, q.arrival, q.n, CASE WHEN g.used + q.size <= 5000 THEN g.used + q.size ELSE g.used END, g.used + q.size <= 5000 FROM g JOIN q ON q.journal = g.journal AND q.n = g.n + 1)",
+        select="SELECT journal, arrival, accepted, used AS queued_bytes FROM g",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def queue_gate(spark, sf_dir):
-    q = fx.slots(spark, sf_dir).where("epoch = 3").select("journal", F.col("event_id").alias("arrival"), "author", "author_seq", "payload_len")
+    q = fx.slots(spark, sf_dir).where("epoch = 3").select("journal", F.col("event_id").alias("arrival"), "payload_len")
     return storage.queue_gate(q, 5000)
 
 
