@@ -76,6 +76,17 @@ def first_refusal(slots: DataFrame, members: DataFrame, terms: DataFrame | None
     return rows.select(*slots.columns, refusal.alias("refusal"))
 
 
+def genesis_refusal(records: DataFrame) -> DataFrame:
+    """genesis records with ``refusal``: the first slot of its chain at 1:1, written and led by its founder.
+
+    ``records``: journal, epoch, seq, is_first, author, leader, founder_key (all binary ids), signature_ok, payload_ok.
+    """
+    founder = F.substring(F.unhex(F.sha2("founder_key", 256)), 1, 16)
+    bad = ~F.col("is_first") | (F.col("epoch") != 1) | (F.col("seq") != 1) | (F.octet_length("founder_key") != 32) | (F.col("author") != founder) | (F.col("leader") != founder)
+    r = F.when(bad, "bad_genesis").when(~F.coalesce("signature_ok", F.lit(True)), "bad_signature").when(~F.coalesce("payload_ok", F.lit(True)), "bad_payload_hash")
+    return records.withColumn("refusal", r)
+
+
 def create_journal_refusal(rows: DataFrame, existing: DataFrame, most: int = 1024) -> DataFrame:
     """create_journal records with ``refusal``: unique id, a name of 1 to 256 characters, and the cap, in this order."""
     w = Window.partitionBy("id").orderBy("epoch", "seq")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import address_safe, position, sat_sub
+from ..schema import FRAMES
 
 
 def verdicts(events: DataFrame) -> DataFrame:
@@ -65,6 +66,13 @@ def admission(hellos: DataFrame, members: DataFrame, allowlist: DataFrame, mode:
     return listed.join(F.broadcast(n)).select(*hellos.columns, answer.alias("answer"))  # n is one row
 
 
+def allowed_frames(frames: DataFrame) -> DataFrame:
+    """frames (role, outbound, kind) with ``allowed``: the rule of each kind is a map literal."""
+    rule = F.try_element_at(F.create_map(*[F.lit(x) for pair in FRAMES.items() for x in pair]), F.col("kind"))
+    ok = (rule == "any") | ((rule == "outbound") & F.col("outbound")) | (rule == F.col("role"))
+    return frames.withColumn("allowed", F.coalesce(ok, F.lit(False)))
+
+
 def pending(answered: DataFrame) -> DataFrame:
     """Who waits for an operator's word."""
     return answered.where("answer = 'prompt_pending'").select("member", "public_key", "address").distinct()

@@ -87,3 +87,11 @@ def projection(df: DataFrame) -> DataFrame:
     """What the command line prints of a record."""
     author = F.concat_ws(":", F.col("author").cast("string"), F.col("author_seq").cast("string"))
     return df.select("journal", position_text(F.col("epoch"), F.col("seq")).alias("pos"), author.alias("id"), "kind", F.col("payload").cast("string").alias("payload"))
+
+
+def page_after(slots: DataFrame, journal, cursor: Position | None, size: int) -> DataFrame:
+    """The next rows of a journal behind a cursor: keyset pagination, a top-k over a pruned scan."""
+    own = slots.where(F.col("journal") == journal)
+    if cursor:
+        own = own.where((F.col("epoch") >= cursor[0]) & ((F.col("epoch") > cursor[0]) | (F.col("seq") > cursor[1])))
+    return own.orderBy("epoch", "seq").limit(size)

@@ -5,11 +5,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_hex_id, position
 from ..schema import DEFAULTS, FRAME_CAP_BYTES, LONGEST_AUTHORITY, SETTINGS
+from ..shipping import ship
 
 
 def column_of(key: str) -> str:
@@ -114,3 +118,54 @@ def drift(local: DataFrame, folded: DataFrame) -> DataFrame:
 def touches_leadership(changes: DataFrame) -> DataFrame:
     """By settings record, whether it changes who may lead."""
     return changes.groupBy("journal", "epoch", "seq").agg(F.bool_or(F.col("key").startswith("leadership.")).alias("touches"))
+
+
+def broken_rule(state: dict, n_members: int, names: set[str]) -> str | None:
+    """The rule that a state of settings (values as text, authorities as a list) breaks; the Python twin of state_error()."""
+    listed = state["leadership.authorities"]
+    exempt = "seniority" in (state["leadership.mode"], state["leadership.fallback"]) or n_members <= 1
+    if state["ttl.enforce"] == "all" and int(state["ttl.default_ms"]) == 0:
+        return "ttl_enforce_all_needs_default"
+    if not listed and not exempt:
+        return "empty_authorities_needs_fallback"
+    for a in listed:
+        if not 0 < len(a) <= LONGEST_AUTHORITY:
+            return "authority_entry_too_long" if a else "empty_authority_entry"
+    if listed and not exempt and not names & {a.lower() if len(a) == 32 else a for a in listed}:
+        return "authorities_match_no_member"
+    return "max_entry_bytes_exceeds_frame_cap" if int(state["journal.max_entry_bytes"]) > FRAME_CAP_BYTES - 4096 else None
+
+
+def replay(records: DataFrame) -> DataFrame:
+    """journal, epoch, seq, refusal, and hash of the state after each settings record of a chain.
+
+    ``records``: journal, epoch, seq, is_genesis, n_members, names (addresses and hex ids of the members), changes (array
+    of key, value; lists joined by commas). A record counts as a whole or not at all: first the live rules, against the
+    state before it, then the rules of the whole state. That is a fold in sequence, over the few settings records of each
+    chain; chains are folded in parallel.
+    """
+    ship(records.sparkSession)
+    as_value = lambda k, v: [x for x in v.split(",")] if k == "leadership.authorities" and v else [] if k == "leadership.authorities" else v
+
+    def fold(group: pa.Table) -> pa.Table:
+        state, out = {k: as_value(k, v) for k, v in DEFAULTS.items()}, []
+        for r in sorted(group.to_pylist(), key=lambda r: (r["epoch"], r["seq"])):
+            changes = [(c["key"], c["value"]) for c in r["changes"] or ()]
+            refusal = None
+            if any(k not in DEFAULTS for k, _ in changes):
+                refusal = "unknown_setting"
+            elif not r["is_genesis"] and state["leadership.reconfigurable"] != "true" and any(k.startswith("leadership.") for k, _ in changes):
+                refusal = "not_live_changeable"
+            else:
+                new = state | {k: as_value(k, v) for k, v in changes}
+                if broken_rule(new, 1 if r["is_genesis"] else r["n_members"], set(r["names"] or ())):
+                    refusal = "invalid_settings"
+                else:
+                    state = new
+            text = "\n".join(f"{k}={v if isinstance(v, str) else ','.join(v)}" for k, v in sorted(state.items()))
+            out.append((r["journal"], r["epoch"], r["seq"], refusal, hashlib.sha256(text.encode()).hexdigest()))
+        kinds = (group.schema.field("journal").type, pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["journal", "epoch", "seq", "refusal", "hash"])
+
+    kind = records.schema["journal"].dataType.simpleString()
+    return records.groupBy("journal").applyInArrow(fold, f"journal {kind}, epoch bigint, seq bigint, refusal string, hash string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ed25519, scalar
 from ..operators import chain, election, expiry, membership, merge, reads, settings, storage
-from ..schema import ID, SLOT_ROW
+from ..schema import FRAMES, ID, SLOT_ROW
 from ..shipping import ship
 from ..sources import segment
 from ..streaming import live
@@ -72,6 +72,11 @@ def head(spark, sf_dir):
     return reads.heads(fx.slots(spark, sf_dir), "slot_hash")
 
 
+@query(o.query(o.SLOTS, select=f"SELECT {PICKED} FROM slots WHERE journal = 'j1' AND epoch * 1000000 + seq > 1000010 ORDER BY epoch, seq LIMIT 25"))
+def keyset_page(spark, sf_dir):
+    return reads.page_after(fx.slots(spark, sf_dir).select(*PICK), "j1", (1, 10), 25)
+
+
 @query(o.query(o.SLOTS, select="SELECT journal, min_by(kind, epoch * 1000000000 + seq) AS kind FROM slots GROUP BY journal"))
 def first_record_kind(spark, sf_dir):
     return reads.first_kinds(fx.slots(spark, sf_dir))
@@ -169,6 +174,21 @@ def settings_validate(spark, sf_dir):
     return c.select(key.alias("id"), error.alias("error"))
 
 
+@query(o.query("c AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS reconf, CASE c_custkey % 3 WHEN 0 THEN 'leadership.mode' WHEN 1 THEN 'leadership.reconfigurable' ELSE 'ttl.enforce' END AS key FROM customer)", select="SELECT id, key, CASE WHEN key LIKE 'leadership.%' THEN reconf ELSE true END AS allowed FROM c"))
+def settings_live_gate(spark, sf_dir):
+    key = F.col("c_custkey")
+    c = fx.load(spark, sf_dir, "customer").select(key.alias("id"), (key % 2 == 0).alias("reconf"), F.when(key % 3 == 0, "leadership.mode").when(key % 3 == 1, "leadership.reconfigurable").otherwise("ttl.enforce").alias("key"))
+    return c.select("id", "key", settings.live_changeable(F.col("key"), F.lit(""), F.col("reconf")).alias("allowed"))
+
+
+@query()
+def settings_replay(spark, sf_dir):
+    """Every settings record applied or refused in sequence; records that ask for all without a default are refused."""
+    s = fx.slots(spark, sf_dir)
+    grouped = fx.changes(s).groupBy("journal", "epoch", "seq").agg(F.collect_list(F.struct("key", "value")).alias("changes"))
+    return settings.replay(grouped.select("*", F.lit(False).alias("is_genesis"), F.lit(3).alias("n_members"), F.array(F.lit("host-1")).alias("names")))
+
+
 # --- expiry -------------------------------------------------------------------------------------------------------
 
 
@@ -469,6 +489,27 @@ def failure_detector(spark, sf_dir):
     return membership.detect(fx.heartbeats(spark, sf_dir), fx.END, 86400000, 604800000)
 
 
+_FRAMES = ", ".join(f"('{k}', '{v}')" for k, v in FRAMES.items())
+
+
+@query(f"WITH f(kind, rule) AS (VALUES {_FRAMES}), r(role) AS (VALUES ('operator'), ('member'), ('none')), b(outbound) AS (VALUES (true), (false)) SELECT role, outbound, kind, rule = 'any' OR (rule = 'outbound' AND outbound) OR rule = role AS allowed FROM f, r, b")
+def frame_permissions(spark, sf_dir):
+    rows = [(r, b, k) for r in ("operator", "member", "none") for b in (True, False) for k in FRAMES]
+    return membership.allowed_frames(spark.createDataFrame(rows, "role string, outbound boolean, kind string"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'bad_genesis' WHEN c_custkey % 7 = 0 THEN 'bad_signature' WHEN c_custkey % 11 = 0 THEN 'bad_payload_hash' END AS refusal FROM customer")
+def genesis_rules(spark, sf_dir):
+    key = F.col("c_custkey")
+    founder = F.unhex(F.sha2(key.cast("string"), 256))
+    own = F.substring(F.unhex(F.sha2(founder, 256)), 1, 16)
+    g = fx.load(spark, sf_dir, "customer").select(
+        key.alias("id"), F.lit(1).alias("epoch"), (1 + key % 2).alias("seq"), (key % 3 != 0).alias("is_first"), F.when(key % 5 == 0, F.lit(b"x")).otherwise(own).alias("author"), own.alias("leader"),
+        founder.alias("founder_key"), (key % 7 != 0).alias("signature_ok"), (key % 11 != 0).alias("payload_ok"),
+    )
+    return chain.genesis_refusal(g).select("id", "refusal")
+
+
 # --- merge --------------------------------------------------------------------------------------------------------
 
 

@@ -45,6 +45,12 @@ REFUSALS = [
     "bad_checkpoint", "bad_control_payload", "no_epoch",
 ]
 
+#: Frame kinds in wire order, and who may send them: anyone, a dialled peer, an operator or a member.
+FRAMES = {
+    "hello": "any", "hello_ack": "outbound", "append": "operator", "ack": "any", "forward": "member", "slot": "member", "sync_req": "member", "sync_page": "member",
+    "heartbeat": "member", "read_req": "operator", "read_page": "any", "settings": "operator", "merge_offer": "member", "merge_ack": "member", "members_req": "operator", "members_page": "any",
+}
+
 #: Sizes in bytes.
 SLOT_BYTES, ENTRY_HEADER_BYTES, RECORD_PREFIX_BYTES = 168, 164, 8
 FRAME_CAP_BYTES = 17 * 1024 * 1024

@@ -84,3 +84,23 @@ def test_delivery_resumes_at_its_cursor(spark, tmp_path):
         stream = live.follow(live.slots_stream(spark, f"{tmp_path}/in", s.schema), "j1", (1, 5))
         live.deliver(stream, lambda b, n: seen.extend(map(tuple, b.collect())), f"{tmp_path}/cursor").awaitTermination()
     assert len(seen) == len(set(seen)) == s.where("epoch in (1, 2) and (epoch > 1 or seq >= 5)").count()
+
+
+def test_settings_are_applied_as_a_whole_or_not_at_all(spark):
+    from chainlake.operators import settings
+
+    rows = [
+        ("c", 1, 1, True, 1, [], [("leadership.mode", "configured"), ("leadership.authorities", "")]),
+        ("c", 1, 2, False, 3, ["h:1"], [("ttl.enforce", "all")]),
+        ("c", 1, 3, False, 3, ["h:1"], [("leadership.authorities", "h:1"), ("ttl.enforce", "all"), ("ttl.default_ms", "5")]),
+        ("c", 1, 4, False, 3, ["h:1"], [("leadership.authorities", "h:9")]),
+        ("c", 1, 5, False, 3, ["h:1"], [("leadership.reconfigurable", "false")]),
+        ("c", 1, 6, False, 3, ["h:1"], [("leadership.mode", "seniority")]),
+        ("c", 1, 7, False, 3, ["h:1"], [("nope", "1")]),
+        ("c", 1, 8, False, 3, ["h:1"], [("ttl.max_ms", "7")]),
+        ("c", 2, 1, False, 3, ["h:1"], [("journal.max_entry_bytes", str(17 << 20))]),
+    ]
+    df = spark.createDataFrame(rows, "journal string, epoch bigint, seq bigint, is_genesis boolean, n_members int, names array<string>, changes array<struct<key: string, value: string>>")
+    got = sorted(settings.replay(df).collect(), key=lambda r: (r["epoch"], r["seq"]))
+    assert [r["refusal"] for r in got] == [None, "invalid_settings", None, "invalid_settings", None, "not_live_changeable", "unknown_setting", None, "invalid_settings"]
+    assert len({r["hash"] for r in got}) == 4
