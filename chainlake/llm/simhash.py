@@ -72,7 +72,10 @@ def fingerprint(text: str, words: int = 3, bits: int = 64) -> bytes:
 
     The first 64 bits are those of the hashes, further ones of their mixes.
     """
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words), bits)
+
+
+def majority(h: np.ndarray, bits: int) -> bytes:
     if not len(h):
         return bytes(bits // 8)
     out = []
@@ -98,6 +101,24 @@ def fingerprints(df: DataFrame, words: int = 3, bits: int = 64, id_col: str = "d
     return arrow_pass(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp binary")
 
 
+def signatures(df: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, own (the text's MD5), fp, shingles (ascending 64-bit hashes, each once) of every row; one narrow pass.
+
+    Here fp is the fingerprint of the set of shingles and 64 bits more, a hash of the set, so that different sets are
+    different nodes although their fingerprints may be equal.
+    """
+    rows = id_and_text(df, id_col, text_col).withColumn("own", F.md5("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
+            raw = [h.astype("<u8").tobytes() for h in sets]
+            fps = [majority(h, bits) + xxhash.xxh64_digest(r, SEED) for h, r in zip(sets, raw)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(fps, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "own", "fp", "shingles"])
+
+    return arrow_pass(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, own string, fp binary, shingles binary")
+
+
 # --- masks and buckets --------------------------------------------------------------------------------------------
 
 
@@ -147,12 +168,13 @@ class Masks:
 
 
 def words_of(fps: pa.Array, bits: int) -> np.ndarray:
-    """Fingerprints as rows of 64-bit words."""
-    return np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
+    """Fingerprints as rows of 64-bit words; what stands behind their bits is left out."""
+    raw = fps.to_pylist()
+    return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)[:, : bits // 64]
 
 
-def keyed(fps: DataFrame, masks: Masks, paths: list[str]) -> DataFrame:
-    """key, path, fp: each fingerprint once for each path. A key is a hash of the path and of the masked bits;
+def keyed(fps: DataFrame, masks: Masks, paths: list[str], label: bool = False) -> DataFrame:
+    """key, path, fp (and label): each fingerprint once for each path. A key is a hash of the path and of the masked bits;
     should two meet, the comparison only sees some fingerprints more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +185,10 @@ def keyed(fps: DataFrame, masks: Masks, paths: list[str]) -> DataFrame:
                 key = np.full(len(w), salt)
                 for k in range(w.shape[1]):
                     key = mixed((key ^ (w[:, k] & mask[k])) + MIX[0])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([path] * len(w), pa.string()), batch.column("fp")], ["key", "path", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([path] * len(w), pa.string()), *[batch.column(c) for c in own]], ["key", "path", *own])
 
-    return arrow_pass(fps.select("fp"), run, "key long, path string, fp binary")
+    own = ["fp", "label"] if label else ["fp"]
+    return arrow_pass(fps.select(*own), run, "key long, path string, fp binary" + ", label long" * label)
 
 
 def extended(rows: DataFrame, masks: Masks) -> DataFrame:
@@ -212,6 +235,12 @@ def at_most(digits: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def near(fps: np.ndarray, sizes: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All that near_steps finds, at once."""
+    found = list(near_steps(fps, sizes, radius))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+
+
+def near_steps(fps: np.ndarray, sizes: list[int], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of rows of fps, i in ascending order, of one bucket and within the radius; i = j included.
 
     The rows of a bucket stand together; 64 of them make a block, whose bits are stored by plane: word b of a block
@@ -237,7 +266,6 @@ def near(fps: np.ndarray, sizes: list[int], radius: int) -> tuple[np.ndarray, np
     each = np.repeat(np.array(n_blocks), sizes)
     query = np.repeat(np.arange(len(fps)), each)
     block = np.arange(len(query)) - np.repeat(np.cumsum(each) - each, each) + first_block[bucket[query]]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(query), STEP):
         q, b = query[at : at + STEP], block[at : at + STEP]
         zero = np.zeros(len(q), np.uint64)
@@ -265,8 +293,7 @@ def near(fps: np.ndarray, sizes: list[int], radius: int) -> tuple[np.ndarray, np
                 break
         if len(q):
             hit = np.flatnonzero(np.unpackbits(close.view(np.uint8), bitorder="little"))
-            found.append((q[hit >> 6], row_of[b[hit >> 6] * 64 + (hit & 63)]))
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+            yield q[hit >> 6], row_of[b[hit >> 6] * 64 + (hit & 63)]
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -290,7 +317,7 @@ def linked(rows: DataFrame, bits: int, radius: int) -> DataFrame:
 
     def flush(block: list[list[bytes]]) -> pa.RecordBatch:
         flat = [fp for fps in block for fp in fps]
-        w = np.frombuffer(b"".join(flat), ">u8").astype(np.uint64).reshape(len(flat), bits // 64)
+        w = np.frombuffer(b"".join(flat), ">u8").astype(np.uint64).reshape(len(flat), -1)[:, : bits // 64]
         root = roots(len(flat), *near(w, [len(fps) for fps in block], radius))
         child = np.flatnonzero(root != np.arange(len(flat)))
         return pa.RecordBatch.from_arrays([pa.array([flat[i] for i in child], pa.binary()), pa.array([flat[i] for i in root[child]], pa.binary())], ["a", "b"])
@@ -329,6 +356,142 @@ def links(fps: DataFrame, bits: int, radius: int) -> DataFrame:
     return out.distinct()
 
 
+# --- verified pairs -----------------------------------------------------------------------------------------------
+
+
+def over_buckets(buckets: DataFrame, bits: int, radius: int, pairs_of, schema: str) -> DataFrame:
+    """The batches that pairs_of(rows, steps) makes of some buckets at a time, by columns of lists.
+
+    rows: the lists' values end to end, by name; steps: near_steps of the column fps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                n, size = 0, 0
+                while at + n < len(batch) and size < 1 << 14:
+                    size += max(64, len(batch.column("fps")[at + n]))
+                    n += 1
+                part = batch.slice(at, n)
+                at += n
+                rows = {c: part.column(c).flatten() for c in part.schema.names}
+                sizes = pa.compute.list_value_length(part.column("fps")).to_pylist()
+                yield from pairs_of(rows, near_steps(words_of(rows["fps"], bits), sizes, radius))
+
+    return arrow_pass(buckets, run, schema)
+
+
+def nearest_lower(rows: DataFrame, bits: int, radius: int) -> DataFrame:
+    """a, b: for every b the nearest a < b that it meets within the radius.
+
+    A bucket that is too large is cut at random here; rest_of() looks at what that leaves out.
+    """
+    hot = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET), "hot-keys")
+    cut = F.coalesce(F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") * 2 / BUCKET)), F.lit(0))
+    dealt = rows.join(hot, "key", "left").groupBy("key", cut.alias("cut")).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+
+    def pairs_of(rows: dict, steps: Iterator) -> Iterator[pa.RecordBatch]:
+        w = words_of(rows["fps"], bits)
+        least, of = np.full(len(w), bits + 1), np.zeros(len(w), np.int64)
+        for i, j in steps:
+            below = np.flatnonzero(j < i)
+            for at in range(0, len(below), 1 << 17):
+                x, y = i[below[at : at + (1 << 17)]], j[below[at : at + (1 << 17)]]
+                d = np.bitwise_count(w[x] ^ w[y]).sum(axis=1).astype(np.int64)
+                order = np.lexsort((y, d, x))
+                x, y, d = x[order], y[order], d[order]
+                first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else order
+                x, y, d = x[first], y[first], d[first]
+                less = d < least[x]
+                least[x[less]], of[x[less]] = d[less], y[less]
+        b = np.flatnonzero(least <= bits)
+        yield pa.RecordBatch.from_arrays([rows["fps"].take(pa.array(of[b])), rows["fps"].take(pa.array(b)), pa.array(least[b])], ["a", "b", "d"])
+
+    found = over_buckets(dealt.where(F.size("fps") > 1).select("fps"), bits, radius, pairs_of, "a binary, b binary, d long")
+    return found.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """fps, labels, parts: of rows (key, fp, label) the sets in which every two of a key with different labels meet.
+
+    A key of more than BUCKET rows is cut into blocks, and each two of its blocks meet in a set of their own; blocks of
+    the label that most of its rows have don't meet one another. A key with one label has nothing to compare.
+    """
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = each.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("n_most"), F.max_by("label", "n").alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    keys = materialise(keys.select("key", "n", "n_most", "most"), "mixed-keys")
+    half = BUCKET // 2
+    dealt = rows.join(keys, "key").withColumn("p", F.greatest(F.ceil((F.col("n") - F.col("n_most")) / half), F.lit(1))).withColumn("q", F.ceil(F.col("n_most") / half))
+    small = F.col("n") <= BUCKET
+    main = F.col("label") == F.col("most")
+    part = F.when(small, F.lit(0)).when(main, F.col("p") + F.pmod(F.xxhash64("fp"), F.col("q"))).otherwise(F.pmod(F.xxhash64("fp"), F.col("p")))
+    others = F.when(small, F.array(F.lit(0).cast("long"))).when(main, F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("p") + F.col("q") - 1))
+    met = dealt.select("key", "fp", "label", part.cast("long").alias("part"), others.alias("others")).select("key", "fp", "label", "part", F.explode("others").alias("other"))
+    sets = met.groupBy("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_list(F.struct("fp", "label", "part")).alias("s")).where(F.size("s") > 1)
+    return sets.select(*[F.col(f"s.{c}").alias(f"{c}s") for c in ("fp", "label", "part")])
+
+
+def rest_of(rows: DataFrame, bits: int, radius: int) -> DataFrame:
+    """a, b: all pairs within the radius that share a key and have different labels; a < b."""
+
+    def pairs_of(rows: dict, steps: Iterator) -> Iterator[pa.RecordBatch]:
+        label = rows["labels"].to_numpy()
+        for i, j in steps:
+            keep = (i < j) & (label[i] != label[j])
+            i, j = i[keep], j[keep]
+            for at in range(0, len(i), 1 << 16):
+                x, y = rows["fps"].take(pa.array(i[at : at + (1 << 16)])).to_pylist(), rows["fps"].take(pa.array(j[at : at + (1 << 16)])).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(min, x, y)), pa.binary()), pa.array(list(map(max, x, y)), pa.binary())], ["a", "b"])
+
+    return over_buckets(blocks(rows), bits, radius, pairs_of, "a binary, b binary").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least ``least``. sets: fp, shingles, each fp once.
+
+    Pairs are joined by (node, salt), so that a node with many pairs is spread over tasks.
+    """
+    now = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    needed = now.select(F.col("a").alias("fp"), "salt").union(now.select(F.col("b").alias("fp"), "salt")).distinct()
+    held = materialise(needed.join(sets, "fp"), "shingle-sets")
+    now = now.join(held.select(F.col("fp").alias("a"), "salt", F.col("shingles").alias("of_a")), ["a", "salt"])
+    now = now.join(held.select(F.col("fp").alias("b"), "salt", F.col("shingles").alias("of_b")), ["b", "salt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                if min(len(x), len(y)) < least * max(len(x), len(y)):
+                    alike.append(False)
+                    continue
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                alike.append(common >= least * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return arrow_pass(now.select("a", "b", "of_a", "of_b"), run, "a binary, b binary")
+
+
+def alike(fps: DataFrame, sets: DataFrame, bits: int, radius: int, least: float) -> DataFrame:
+    """node, root: the components of the pairs within the radius that share a mask's bits and are at least so alike.
+
+    First each node is tried with its nearest lower one, which joins a large group of near copies at a linear cost;
+    then all found pairs that are not in one component yet. So no found pair goes unverified that could join two.
+    """
+    masks = Masks(bits, radius, fps.count())
+    near_ones = materialise(nearest_lower(keyed(fps, masks, masks.first()).select("key", "fp"), bits, radius), "nearest")
+    first = materialise(verified(near_ones, sets, least), "verified")
+    roots_of = components(first)
+    named = fps.join(roots_of, fps["fp"] == roots_of["node"], "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label"))
+    named = materialise(named, "labels")
+    rows = keyed(named, masks, masks.first(), label=True)
+    left = materialise(rest_of(rows, bits, radius).join(near_ones, ["a", "b"], "left_anti"), "rest")
+    second = materialise(verified(left, sets, least), "verified")
+    return roots_of if second.isEmpty() else components(first.union(second))
+
+
 # --- components ---------------------------------------------------------------------------------------------------
 
 
@@ -382,17 +545,19 @@ def groups(df: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, id_co
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, words: int = 5, bits: int = 256, radius: int = 46, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, words: int = 5, bits: int = 256, radius: int = 53, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """The rows of df without near duplicates: of each group the row with the smallest id stays, once.
 
-    The default radius follows from a Jaccard similarity of 0.8 of the sets of 5-word shingles: bits then differ with
-    probability arccos(2J / (1 + J)) / pi = 0.152, so 38.8 of 256 are expected, with a standard deviation of 5.7. The
-    radius leaves a margin of 1.25 deviations, so that nine in ten pairs at 0.8 itself are met and nearly all above
-    0.85; pairs of 0.7 are met three times in ten, pairs of 0.5 not at all. Rows without an id stay.
+    Groups are the components of pairs whose sets of shingles have a Jaccard similarity of at least ``least``; each pair
+    is verified on the sets (64-bit hashes) before it counts. Fingerprints only find the pairs. At a similarity of 0.8
+    bits differ with probability arccos(2J / (1 + J)) / pi = 0.152, so 38.8 of 256 are expected, with a standard
+    deviation of 5.7; the radius leaves a margin of 2.5 deviations. Rows without an id stay.
     """
-    found = groups(df, words, bits, radius, id_col, text_col)
-    stay: Column = found["doc_id"] == found["component_id"]
+    docs = materialise(signatures(df, words, bits, id_col, text_col), "signatures")
+    reps = materialise(docs.select("doc_id", "fp").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-sets")
+    roots_of = alike(reps, docs.select("fp", "shingles").dropDuplicates(["fp"]), bits, radius, least)
+    named = reps.join(roots_of, reps["fp"] == roots_of["node"], "left").select("rep", F.coalesce("root", "fp").alias("root"))
     own = spare("_id", df.columns)
-    keep = materialise(found.where(stay).select(F.col("doc_id").alias(own)).distinct(), "kept-ids")
+    keep = materialise(named.groupBy("root").agg(F.min("rep").alias(own)).where(F.col(own).isNotNull()).select(own).distinct(), "kept-ids")
     named = df.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(own), "left_semi").dropDuplicates([id_col])
     return named.unionByName(df.where(F.col(id_col).isNull()))

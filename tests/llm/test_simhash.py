@@ -106,3 +106,25 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] for r in simhash.one_of_each(df).collect()), key=str) == [2, 4, 6, None]
     assert simhash.one_of_each(df).columns == df.columns
     assert simhash.one_of_each(df.where("false")).count() == 0
+
+
+def family(n, shared, own, seed=0):
+    """n texts that share a passage and have words of their own."""
+    passage = " ".join(f"s{k}" for k in range(shared))
+    return [f"{passage} " + " ".join(f"d{seed}x{i}y{k}" for k in range(own)) for i in range(n)]
+
+
+def test_only_pairs_at_the_similarity_are_near_duplicates(spark):
+    """Documents that share a long passage (0.70) all stay; near copies at 0.8 and more go, however the corpus is cut."""
+    texts = family(60, 200, 42) + [" ".join(f"c{k}" if k != 5 * i % 390 else f"e{i}" for k in range(400)) for i in range(40)]
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect())
+    assert got == list(range(61))
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    texts = [" ".join(f"c{k}" if k != 5 * i % 390 else f"e{i}" for k in range(400)) for i in range(40)]
+    assert [r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()] == [0]
+    rows = spark.createDataFrame([(1, bytearray([k] * 8), k % 3 if k > 20 else 9) for k in range(50)], "key long, fp binary, label long")
+    want = {(a, b) for a in range(50) for b in range(50) if a < b and not (a <= 20 and b <= 20) and not (a > 20 and b > 20 and a % 3 == b % 3)}
+    assert {(r["a"][0], r["b"][0]) for r in simhash.rest_of(rows, 64, 64).collect()} == want
