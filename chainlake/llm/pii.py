@@ -28,7 +28,7 @@ PATTERNS = {
     "date": r"(?<![0-9A-Za-z_./-])(?:(?:19|20)\d\d([-/.])\d\d\1\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![0-9A-Za-z_]|[./-]\d)",
     "ip": r"(?<![0-9A-Za-z_.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z_]|\.\d)",
     "ssn": r"(?<![0-9A-Za-z_-])\d{3}-\d\d-\d{4}(?![0-9A-Za-z_]|-\d)",
-    "card": r"(?<![0-9A-Za-z_])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z_])",
+    "card": r"(?<![0-9A-Za-z_])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3,}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z_])",
     "phone": r"(?<![0-9A-Za-z_+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z_])",
 }
 KINDS = tuple(PATTERNS)
@@ -107,25 +107,45 @@ def refilled(shape: Column, new: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step)["out"]
 
 
-def iso_date(m: Column) -> Column:
-    """The date of a match, null if there is no such day. Dates with slashes are month first unless the year is."""
+def read_dates(m: Column, day_first: Column) -> tuple[Column, Column]:
+    """The date of a match, null if there is no such day, and the order of its parts.
+
+    Dates with slashes are read in the document's order, and in the other one if that gives no day.
+    """
     parts = F.split(m, "[-/.]")
-    year_first = F.length(parts[0]) == 4
-    slash = F.substr(m, F.lit(3), F.lit(1)) == "/"
-    text = F.when(year_first, F.concat_ws("-", parts)).when(slash, F.concat_ws("-", parts[2], parts[0], parts[1])).otherwise(F.concat_ws("-", parts[2], parts[1], parts[0]))
-    return F.try_to_date(text, "yyyy-MM-dd")
+    of = lambda y, mo, d: F.try_to_date(F.concat_ws("-", parts[y], parts[mo], parts[d]), "yyyy-MM-dd")
+    by_month, by_day = of(2, 0, 1), of(2, 1, 0)
+    year_first, slash = F.length(parts[0]) == 4, F.substr(m, F.lit(3), F.lit(1)) == "/"
+    month_first = slash & by_month.isNotNull() & ~(day_first & by_day.isNotNull())
+    day = F.when(year_first, of(0, 1, 2)).when(month_first, by_month).otherwise(by_day)
+    return day, F.when(year_first, F.lit("yyyyMMdd")).when(month_first, F.lit("MMddyyyy")).otherwise(F.lit("ddMMyyyy"))
 
 
 def octets(m: Column) -> Column:
     return F.transform(F.split(m, r"\."), lambda x: x.cast("bigint"))
 
 
-def kind_of(m: Column) -> Column:
+def pieces(m: Column) -> Column:
+    """The parts of a match that are judged by themselves: in a run of more than four groups of four digits, every four
+    that pass the check, tried at each group from the left, and what is between them; else the match."""
+    at = lambda k, n: F.substr(m, k * 5 + 1, F.lit(n))
+    groups = F.floor((F.length(m) + 1) / 5).cast("int")
+
+    def step(s: Column, k: Column) -> Column:
+        card = let(digits(at(k, 19)), lambda d: (F.length(d) == 16) & (luhn(d) % 10 == 0) & ~d.rlike("^0+$"))
+        state = lambda more, skip: F.struct(F.concat(s["out"], more).alias("out"), skip.alias("skip"))
+        return F.when(s["skip"] > 0, state(F.array().cast("array<string>"), s["skip"] - 1)).when(card, state(F.array(at(k, 19), F.substr(m, k * 5 + 20, F.lit(1))), F.lit(3))).otherwise(state(F.array(at(k, 5)), F.lit(0)))
+
+    cut = F.aggregate(F.sequence(F.lit(0), groups - 1), F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip")), step)["out"]
+    return F.when(m.rlike(r"^\d{4}(?:[ -]\d{4}){4,}$"), cut).otherwise(F.array(m))
+
+
+def kind_of(m: Column, day_first: Column) -> Column:
     """The kind of a match whose value is valid; null for others, which stay as they are."""
     whole = {k: m.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
     valid = {
         "email": F.lit(True),
-        "date": iso_date(m).isNotNull(),
+        "date": read_dates(m, day_first)[0].isNotNull(),
         "ip": F.forall(octets(m), lambda x: x < 256),
         "ssn": ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
         "card": let(digits(m), lambda d: (luhn(d) % 10 == 0) & ~d.rlike("^0+$")),
@@ -137,13 +157,12 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, kind: Column, key: str) -> Column:
+def pseudonym(m: Column, kind: Column, key: str, day_first: Column) -> Column:
     email = F.concat(feistel_string(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
-    day = F.datediff(iso_date(m), F.to_date(F.lit(DAY_ONE)))
+    day_of, order = read_dates(m, day_first)
+    day = F.datediff(day_of, F.to_date(F.lit(DAY_ONE)))
     new_day = let(feistel_numbers(F.floor(day / DAYS_R), day % DAYS_R, DAYS_L, DAYS_R, key, "date"), lambda x: F.date_add(F.to_date(F.lit(DAY_ONE)), (x["l"] * DAYS_R + x["r"]).cast("int")))
-    year_first = m.rlike("^[0-9]{4}")
-    order = F.when(year_first, F.lit("yyyyMMdd")).when(m.contains("/"), F.lit("MMddyyyy")).otherwise(F.lit("ddMMyyyy"))
     written = lambda d: F.when(order == "yyyyMMdd", F.date_format(d, "yyyyMMdd")).when(order == "MMddyyyy", F.date_format(d, "MMddyyyy")).otherwise(F.date_format(d, "ddMMyyyy"))
     date = let(new_day, lambda d: refilled(m, written(d)))
 
@@ -168,21 +187,24 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(df: DataFrame, key: str = KEY, text_col: str = "text", counts: bool = True) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str = KEY, text_col: str = "text", counts: bool = True, lang_col: str = "lang") -> DataFrame:
     """All columns of df with the text pseudonymised, and, if asked for, n_<kind> (long) of what was replaced.
 
     One narrow pass of SQL expressions; a text without a match is looked at once and stays. Null texts stay null and
     have counts of 0. Columns of df of the counts' names are replaced. Repeated rows get equal results, and so do equal
-    values in any rows. Numbers that fail their check (Luhn, octets, days of a month) are no personal data and stay. An
+    values in any rows. Dates with slashes are month first in English and where df has no column of that name for the
+    language or it is null, else day first, and read the other way where that gives no day. Numbers that fail their check (Luhn, octets, days of a month) are no personal data and stay. An
     empty table gives an empty result.
     """
     text = F.col(text_col).cast("string")
+    day_first = ~F.coalesce(F.lower(F.col(f"`{lang_col}`").cast("string")), F.lit("en")).rlike("^en") if lang_col in df.columns else F.lit(False)
 
     def replaced(found: Column) -> Column:
-        each = F.transform(found, lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("new"))))
+        one = lambda m: let(kind_of(m, day_first), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key, day_first).alias("new")))
+        each = F.transform(found, lambda m: F.transform(pieces(m), one))
         return let(each, lambda new: F.struct(
-            F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(new, lambda x: x["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "").alias("text"),
-            F.transform(new, lambda x: x["kind"]).alias("kinds"),
+            F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(new, lambda x: F.array_join(x["new"], "")), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "").alias("text"),
+            F.transform(F.flatten(new), lambda x: x["kind"]).alias("kinds"),
         ))
 
     done = F.when(text.rlike(ANY), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced))

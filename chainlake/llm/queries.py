@@ -41,8 +41,8 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(documents)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return pii.pseudonymise(documents).drop("lang")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,21 @@ def test_odd_rows(spark):
     text = "at 1.2.3.4 " * 3000
     (r,) = run(spark, [text])
     assert r["n_ip"] == 3000 and len(set(r["text"].split())) == 2
+
+
+def test_dates_are_read_in_either_order(spark):
+    df = spark.createDataFrame([(0, "on 25/12/1980", "en"), (1, "on 12/25/1980", "fr"), (2, "on 03/04/1980", "fr"), (3, "on 03/04/1980", "en"), (4, "on 1980-04-03", "fr"), (5, "on 31/31/1980", "fr"), (6, "on 1980-12-25", None)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
+    new = {k: r["text"][3:] for k, r in got.items()}
+    assert [got[k]["n_date"] for k in range(7)] == [1, 1, 1, 1, 1, 0, 1]
+    turned = lambda d: "/".join(d.split("-")[::-1])
+    assert new[0] == turned(new[6]) and new[2] == turned(new[4]) and new[3] != new[2]
+    y, m, d = new[6].split("-")
+    assert new[1] == f"{m}/{d}/{y}" and new[5] == "31/31/1980"
+
+
+def test_a_card_behind_another_number_is_found(spark):
+    alone, behind, two, none = run(spark, ["4111 1111 1111 1111", "2024 4111 1111 1111 1111, end", "4111 1111 1111 1111 5500-0055-5555-5559", "1234 1234 1234 1234 1235 0000"])
+    assert behind["text"] == f"2024 {alone['text']}, end" and behind["n_card"] == 1
+    assert two["n_card"] == 2 and two["text"].startswith(f"{alone['text']} ") and "5500-0055" not in two["text"]
+    assert (none["text"], none["n_card"]) == ("1234 1234 1234 1234 1235 0000", 0)
