@@ -8,9 +8,11 @@ bucket. Two kinds of masks:
 * sampled, for large radii: so many random masks that a pair at the radius itself meets with probability RECALL.
   The bits of a mask grow with the logarithm of the number of fingerprints, so buckets don't grow with the corpus.
 
-A bucket of more than BUCKET fingerprints is not compared but dealt again by masks that extend its own (as above);
-this ends because distinct fingerprints that agree on all bits don't exist. Copies of a text are one fingerprint, so
-a large group of copies costs nothing here.
+A bucket of an exact mask with more than BUCKET fingerprints is not compared but dealt again by masks that extend its
+own; this ends because distinct fingerprints that agree on all bits don't exist. A bucket of a sampled mask that is as
+large is compared in blocks, each two in a task's reach, so no pair that shares a bucket is lost; this costs the square
+of the bucket's size, but for those that are known to be of one group. Copies of a text are one fingerprint, so a large
+group of copies costs nothing here.
 """
 
 from __future__ import annotations
@@ -145,8 +147,8 @@ class Masks:
         return [str(t) for t in range(self.tables)]
 
     def below(self, path: str) -> list[str]:
-        """The masks that extend a mask whose bucket is too large."""
-        return [f"{path}.{k}" for k in range(self.radius + 1 if self.exact else 8)]
+        """The masks that extend an exact mask whose bucket is too large."""
+        return [f"{path}.{k}" for k in range(self.radius + 1)]
 
     def places(self, path: str) -> list[int]:
         fixed: list[int] = []
@@ -156,7 +158,7 @@ class Masks:
                 more = parts(rest, self.radius + 1)[step]
             else:
                 draw = random.Random(f"{'.'.join(path.split('.')[: depth + 1])}")
-                more = draw.sample(rest, min(len(rest), self.width if not depth else 4))
+                more = draw.sample(rest, min(len(rest), self.width))
             fixed += more
             rest = [p for p in rest if p not in set(more)]
         return fixed
@@ -308,12 +310,11 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked(rows: DataFrame, bits: int, radius: int) -> DataFrame:
+def linked(buckets: DataFrame, bits: int, radius: int) -> DataFrame:
     """a, b: in each bucket, every fingerprint that isn't its group's first is linked to that one.
 
     Groups are the connected ones within the bucket, so a group of n costs n - 1 links, however many pairs it has.
     """
-    buckets = rows.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def flush(block: list[list[bytes]]) -> pa.RecordBatch:
         flat = [fp for fps in block for fp in fps]
@@ -341,14 +342,18 @@ def linked(rows: DataFrame, bits: int, radius: int) -> DataFrame:
 def links(fps: DataFrame, bits: int, radius: int) -> DataFrame:
     """a, b: links that connect what pairs within the radius connect. fps: distinct, written (it is read repeatedly)."""
     masks = Masks(bits, radius, fps.count())
+    if not masks.exact:
+        own = fps.select("fp", F.xxhash64("fp").alias("label"))
+        return materialise(linked(blocks(keyed(own, masks, masks.first(), label=True)).select("fps"), bits, radius), "links").distinct()
     rows = keyed(fps, masks, masks.first())
+    collected = lambda rows: rows.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
     found: list[DataFrame] = []
     while True:
         hot = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"), "hot-keys")
         if hot.isEmpty():
-            found.append(materialise(linked(rows, bits, radius), "links"))
+            found.append(materialise(linked(collected(rows), bits, radius), "links"))
             break
-        found.append(materialise(linked(rows.join(hot, "key", "left_anti"), bits, radius), "links"))
+        found.append(materialise(linked(collected(rows.join(hot, "key", "left_anti")), bits, radius), "links"))
         rows = materialise(extended(rows.join(hot, "key", "left_semi").select("key", "path", "fp"), masks), "dealt-again")
     out = found[0]
     for x in found[1:]:

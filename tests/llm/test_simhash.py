@@ -128,3 +128,16 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     rows = spark.createDataFrame([(1, bytearray([k] * 8), k % 3 if k > 20 else 9) for k in range(50)], "key long, fp binary, label long")
     want = {(a, b) for a in range(50) for b in range(50) if a < b and not (a <= 20 and b <= 20) and not (a > 20 and b > 20 and a % 3 == b % 3)}
     assert {(r["a"][0], r["b"][0]) for r in simhash.rest_of(rows, 64, 64).collect()} == want
+
+
+def test_large_buckets_of_sampled_masks_lose_no_link(spark, monkeypatch):
+    """All 40 rows agree on all sampled masks' buckets; each links to its neighbour only, at the radius itself."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash.Masks, "mask", lambda self, path: np.zeros(self.bits // 64, np.uint64))
+    values = [((1 << 6 * k) - 1) for k in range(40)]
+    df = simhash.materialise(spark.createDataFrame([(bytearray(v.to_bytes(32, "big")),) for v in values], "fp binary"), "test")
+    root = {v: v for v in values}
+    for r in simhash.links(df, 256, 6).collect():
+        a, b = (int.from_bytes(r[c], "big") for c in "ab")
+        root = {v: root[a] if x == root[b] else x for v, x in root.items()}
+    assert len(set(root.values())) == 1
