@@ -529,6 +529,8 @@ def components(edges: DataFrame) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components are not complete after {MOST_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -141,3 +141,10 @@ def test_large_buckets_of_sampled_masks_lose_no_link(spark, monkeypatch):
         a, b = (int.from_bytes(r[c], "big") for c in "ab")
         root = {v: root[a] if x == root[b] else x for v, x in root.items()}
     assert len(set(root.values())) == 1
+
+
+def test_unfinished_components_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_ROUNDS", 1)
+    edges = spark.range(1, 9).selectExpr("cast(cast(id as string) as binary) as a", "cast(cast(id - 1 as string) as binary) as b")
+    with pytest.raises(RuntimeError):
+        simhash.components(edges).collect()
