@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spare
+from .common import kept_columns, materialise, numbered, place_of
 
 #: The white space of a line's ends, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,14 +34,20 @@ def lines_of(text: Column) -> Column:
 
 
 def frequent_lines(texts: DataFrame, threshold: int = THRESHOLD, least: int = 1) -> DataFrame:
-    """h1, h2 of the keys of at least ``least`` characters that occur in ``threshold`` rows or more.
+    """h1, h2 of the keys of at least ``least`` characters that occur in ``threshold`` documents or more.
 
-    A row counts once for each of its keys, so the explode is of distinct keys; counting is combined before its
-    shuffle, which makes a line that all documents hold as cheap as any other.
+    texts: doc_id, text. A document counts once for each of its keys. The explode is of a row's distinct keys, and rows
+    are counted, combined before the shuffle, which makes a line that all documents hold as cheap as any other. Rows
+    that share an id are one document: their lines (``again``: id, hashes, rows beyond the first) are taken off.
     """
-    keys = texts.select(F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("key"))
-    long_enough = keys.where(F.char_length("key") >= least).select(*hash128(F.col("key")))
-    return long_enough.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("h1", "h2")
+    row_keys = lambda rows: rows.select("doc_id", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("key")).where(F.char_length("key") >= least)
+    rows = row_keys(texts).select(*hash128(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    several = materialise(texts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated-ids")
+    if not several.isEmpty():
+        again = row_keys(texts.join(several, "doc_id", "left_semi")).select("doc_id", *hash128(F.col("key"))).groupBy("doc_id", "h1", "h2").agg((F.count("*") - 1).alias("more")).where("more > 0")
+        again = again.groupBy("h1", "h2").agg(F.sum("more").alias("more"))
+        rows = rows.where(F.col("n") >= threshold).join(again, ["h1", "h2"], "left").select("h1", "h2", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n"))
+    return rows.where(F.col("n") >= threshold).select("h1", "h2")
 
 
 def dropped_lines(texts: DataFrame, frequent: DataFrame, least: int = 1) -> DataFrame:
@@ -56,27 +62,29 @@ def dedup_lines(df: DataFrame, threshold: int = THRESHOLD, least: int = 1, id_co
     """All columns of df, with the text as it is left, and n_lines and n_dropped (long).
 
     A null or empty text is one empty line. A line's key is the line without white space at both ends and with A-Z in
-    lower case; empty keys are never dropped. A text that loses all lines is empty. Each row is a document: repeated
-    rows count each, also those that share an id, and get the same result; a null id is as good as another. Columns of
-    df that are called n_lines or n_dropped are replaced. An empty table gives an empty result.
-
-    The two small tables (frequent lines; positions by document that has such lines) are written to the shared folder.
-    Their size is then known, and Spark broadcasts them only below spark.sql.autoBroadcastJoinThreshold; beyond, the
-    joins shuffle, and AQE splits what a very frequent line brings together.
+    lower case; empty keys are never dropped. A text that loses all lines is empty. Rows that share an id are one
+    document for the count of documents, and each row with a null id is one of its own; every row loses its frequent
+    lines, so repeated rows get the same result. Names are matched by case only if two columns differ in nothing else.
+    Columns of df that are called n_lines or n_dropped, in any case, are replaced. An empty table gives an empty result.
+
+    The small tables (ids of several rows; frequent lines; positions by document that has such lines) are written to
+    the shared folder. Their size is then known, and Spark broadcasts them only below
+    spark.sql.autoBroadcastJoinThreshold; beyond, the joins shuffle, and AQE splits what a very frequent line brings
+    together.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"))
-    frequent = materialise(frequent_lines(texts, threshold, least), "frequent-lines")
-    gone = materialise(dropped_lines(texts, frequent, least), "dropped-lines")
-    own_id, own_t1, own_t2, own_gone = (spare(f"_{x}", df.columns) for x in ("id", "t1", "t2", "gone"))
-    gone = gone.select(F.col("doc_id").alias(own_id), F.col("t1").alias(own_t1), F.col("t2").alias(own_t2), F.col("gone").alias(own_gone))
-    whole = df.withColumn(text_col, text)
-    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_t1)) & (F.xxhash64(F.lit("text"), text_col) == F.col(own_t2))
-    split = lines_of(F.col(text_col))
-    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own_gone))
+    at_id, at_text = place_of(df, id_col), place_of(df, text_col)
+    rows = numbered(df)
+    whole = rows.withColumn("text", F.coalesce(F.col(f"c{at_text}").cast("string"), F.lit("")))
+    own = [F.col(f"c{at_id}").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
+    texts = whole.select(*own)
+    frequent = materialise(frequent_lines(texts.select("doc_id", "text"), threshold, least), "frequent-lines")
+    gone = materialise(dropped_lines(texts, frequent, least), "dropped-lines").withColumnRenamed("doc_id", "gone_id")
+    on = F.col(f"c{at_id}").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("t1")) & (F.xxhash64(F.lit("text"), "text") == F.col("t2"))
+    split = lines_of(F.col("text"))
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     # the outer transform binds the split lines, which else would be split again for each of them
     put_together = F.transform(F.array(split), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
-    kept = F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(put_together)
-    counts = {"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size(own_gone), F.lit(0)).cast("long")}
-    texts_and_rest = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in counts]
-    return whole.join(gone, on, "left").select(*texts_and_rest, *[v.alias(k) for k, v in counts.items()])
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(put_together)
+    counts = {"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    stays = kept_columns(df, counts)
+    return whole.join(gone, on, "left").select(*[kept if k == at_text else F.col(f"c{k}") for k in stays], *counts.values()).toDF(*[df.columns[k] for k in stays], *counts)

@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spare
+from .common import kept_columns, numbered, place_of
 
-#: Stands for the owner's secret; a production run passes its own.
-KEY = "set-your-own-key"
+#: Stands for the owner's secret; a production run passes its own, or sets it in the session.
+KEY, KEY_SETTING = "set-your-own-key", "spark.chainlake.pseudonymKey"
 ROUNDS = 8
 
 #: What is looked for, in the order in which it is tried at a place. Java regexes.
@@ -39,6 +39,10 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DAY_ONE, DAYS_L, DAYS_R = "1900-01-01", 17, 4297
 
 
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -125,6 +129,12 @@ def octets(m: Column) -> Column:
     return F.transform(F.split(m, r"\."), lambda x: x.cast("bigint"))
 
 
+def dotted(m: Column, numbers: list[Column]) -> Column:
+    """An address in the form of m: its numbers are padded to three digits if m has a leading zero."""
+    padded = m.rlike(r"(?:^|\.)0\d")
+    return F.concat_ws(".", *[F.when(padded, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")) for n in numbers])
+
+
 def pieces(m: Column) -> Column:
     """The parts of a match that are judged by themselves: in a run of more than four groups of four digits, every four
     that pass the check, tried at each group from the left, and what is between them; else the match."""
@@ -158,7 +168,9 @@ def kind_of(m: Column, day_first: Column) -> Column:
 
 
 def pseudonym(m: Column, kind: Column, key: str, day_first: Column) -> Column:
-    email = F.concat(feistel_string(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    # of the domain the last label stays, as it belongs to nobody
+    host, last = F.regexp_extract(m, r"@(.*)\.", 1), F.substring_index(m, ".", -1)
+    email = F.concat(feistel_string(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), let(host, lambda h: feistel_string(h, key, "domain")), F.lit("."), last)
 
     day_of, order = read_dates(m, day_first)
     day = F.datediff(day_of, F.to_date(F.lit(DAY_ONE)))
@@ -167,7 +179,7 @@ def pseudonym(m: Column, kind: Column, key: str, day_first: Column) -> Column:
     date = let(new_day, lambda d: refilled(m, written(d)))
 
     pair = lambda o: feistel_numbers(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
-    ip = let(let(octets(m), pair), lambda x: F.concat_ws(".", *[v.cast("string") for s in ("l", "r") for v in (F.shiftright(x[s], 8), x[s] % 256)]))
+    ip = let(let(octets(m), pair), lambda x: dotted(m, [v for s in ("l", "r") for v in (F.shiftright(x[s], 8), x[s] % 256)]))
 
     # areas 001 to 899 but for 666, groups 01 to 99, serials 0001 to 9999
     area = F.substr(m, F.lit(1), F.lit(3)).cast("bigint")
@@ -190,27 +202,32 @@ def pseudonym(m: Column, kind: Column, key: str, day_first: Column) -> Column:
 def pseudonymise(df: DataFrame, key: str = KEY, text_col: str = "text", counts: bool = True, lang_col: str = "lang") -> DataFrame:
     """All columns of df with the text pseudonymised, and, if asked for, n_<kind> (long) of what was replaced.
 
-    One narrow pass of SQL expressions; a text without a match is looked at once and stays. Null texts stay null and
-    have counts of 0. Columns of df of the counts' names are replaced. Repeated rows get equal results, and so do equal
-    values in any rows. Dates with slashes are month first in English and where df has no column of that name for the
-    language or it is null, else day first, and read the other way where that gives no day. Numbers that fail their check (Luhn, octets, days of a month) are no personal data and stay. An
-    empty table gives an empty result.
+    One narrow pass of SQL expressions; a text is searched once, and one without a match stays. Null texts stay null and
+    have counts of 0. Names are matched by case only if two columns differ in nothing else. Columns of df of the counts'
+    names, in any case, are replaced. Repeated rows get equal results, and so do equal values in any rows; there are no
+    ties, as each text is taken by itself. Dates with slashes are month first in English and where df has no column
+    for the language or it is null, else day first, and read the other way where that gives no day. Addresses with
+    leading zeros keep them. Numbers that fail their check (Luhn, octets, days of a month) are no personal data and
+    stay. An empty table gives an empty result.
     """
-    text = F.col(text_col).cast("string")
-    day_first = ~F.coalesce(F.lower(F.col(f"`{lang_col}`").cast("string")), F.lit("en")).rlike("^en") if lang_col in df.columns else F.lit(False)
+    at = place_of(df, text_col)
+    rows = numbered(df)
+    text = F.col(f"c{at}").cast("string")
+    languages = [k for k, c in enumerate(df.columns) if c == lang_col] or [k for k, c in enumerate(df.columns) if c.lower() == lang_col.lower()]
+    day_first = ~F.coalesce(F.lower(F.col(f"c{languages[0]}").cast("string")), F.lit("en")).rlike("^en") if languages else F.lit(False)
 
     def replaced(found: Column) -> Column:
         one = lambda m: let(kind_of(m, day_first), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key, day_first).alias("new")))
         each = F.transform(found, lambda m: F.transform(pieces(m), one))
-        return let(each, lambda new: F.struct(
+        joined = lambda new: F.struct(
             F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(F.transform(new, lambda x: F.array_join(x["new"], "")), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "").alias("text"),
             F.transform(F.flatten(new), lambda x: x["kind"]).alias("kinds"),
-        ))
+        )
+        return F.when(F.size(found) > 0, let(each, joined))
 
-    done = F.when(text.rlike(ANY), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced))
+    done = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)
     names = [f"n_{k}" for k in KINDS] if counts else []
-    own = spare("_pii", df.columns)
-    number = lambda k: F.coalesce(F.size(F.filter(F.col(own)["kinds"], lambda x: x == k)), F.lit(0)).cast("long")
-    new = F.coalesce(F.col(own)["text"], text).alias(text_col)
-    rest = [new if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in names]
-    return df.withColumn(own, done).select(*rest, *[number(k).alias(n) for k, n in zip(KINDS, names)])
+    number = lambda k: F.coalesce(F.size(F.filter(F.col("done")["kinds"], lambda x: x == k)), F.lit(0)).cast("long")
+    stays = kept_columns(df, names)
+    new = F.coalesce(F.col("done")["text"], text)
+    return rows.withColumn("done", done).select(*[new if k == at else F.col(f"c{k}") for k in stays], *[number(k) for k in KINDS if counts]).toDF(*[df.columns[k] for k in stays], *names)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spare
+from .common import id_and_text, kept_columns, materialise, numbered, place_of
 
 #: What separates words, and what counts as a symbol.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -97,10 +97,10 @@ def weights(texts: DataFrame, trusted: DataFrame) -> Column:
 
     It comes to the driver and into the plan, as it has BUCKETS numbers at any size of the corpus.
 
-    Raw counts are of all rows; trusted ones of the rows whose id is in ``trusted`` (doc_id), of which TRUSTED are
-    used. Counting is combined before its shuffle to BUCKETS rows a task at most.
+    Raw counts are of all rows; trusted ones of the rows whose id is in ``trusted`` (doc_id, each once), of which
+    TRUSTED are used. Counting is combined before its shuffle to BUCKETS rows a task at most.
     """
-    chosen = trusted.where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("good", F.lit(1))
+    chosen = trusted.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("good", F.lit(1))
     marked = texts.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngrams(F.col("text"))).alias("bucket"))
     counted = materialise(marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), "ngram-counts")
     every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
@@ -124,21 +124,21 @@ def score(text: Column, w: Column) -> Column:
 def judge_documents(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of df and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    ``labels`` has doc_id and quality; its rows of quality 1 are the trusted ones. A null text has no words and fails
-    the base rules, as an empty one does. Without trusted rows every score is 0 and the base rules alone decide. A null
-    id is never trusted. Each row is judged by its text alone, so repeated rows get equal verdicts; in the raw counts
-    each counts. Columns of df of the new names are replaced. An empty table gives an empty result.
+    ``labels`` has doc_id and quality; an id is trusted if all its labels that aren't null are 1. A null text has no
+    words and fails the base rules, as an empty one does. Without trusted rows every score is 0 and the base rules alone
+    decide. A null id is never trusted. Each row is judged by its text alone, so repeated rows get equal verdicts; in the
+    raw counts each counts. A score at the threshold is kept. Names are matched by case only if two columns differ in
+    nothing else; columns of df of the new names, in any case, are replaced. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    trusted = labels.where(F.col("quality") == 1).select(F.col("doc_id"))
+    texts = id_and_text(df, id_col, text_col)
+    known = numbered(labels).select(F.col(f"c{place_of(labels, 'doc_id')}").alias("doc_id"), F.col(f"c{place_of(labels, 'quality')}").alias("quality"))
+    trusted = known.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
     w = weights(texts, trusted)
-    counts = base_counts(text)
+    text = F.coalesce(F.col(f"c{place_of(df, text_col)}").cast("string"), F.lit(""))
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    old = [c for c in df.columns if c not in new]
-    own = spare("_counts", df.columns)
-    plain = [F.col(f"`{c}`") for c in old]
-    out = df.select(*plain, *[c.alias(own if n == "_counts" else n) for n, c in counts.items()], score(text, w).alias("llr"))
-    n_words, n_repeat = F.col(own)["n_words"], F.col(own)["n_repeat_words"]
+    stays = kept_columns(df, new)
+    plain = [F.col(f"c{k}") for k in stays]
+    out = numbered(df).select(*plain, *[c.alias(n) for n, c in base_counts(text).items()], score(text, w).alias("llr"))
+    n_words, n_repeat = F.col("_counts")["n_words"], F.col("_counts")["n_repeat_words"]
     failed = (n_words < LEAST_WORDS) | (100 * n_repeat > MOST_REPEATED * n_words)
-    return out.select(*plain, n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", n_repeat.alias("n_repeat_words"), failed.alias("base_failed"), "llr", (~failed & (F.col("llr") >= threshold)).alias("kept"))
+    return out.select(*plain, n_words, "word_chars", "n_symbols", "n_dup_lines", n_repeat, failed, "llr", ~failed & (F.col("llr") >= threshold)).toDF(*[df.columns[k] for k in stays], *new)

@@ -20,15 +20,18 @@ def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and byte-pair tokens of every text."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; digests of both."""
     return bpe_codec.codec_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives, which are read back as chunk rows; of each record its last row."""
+    """Every page written to WARC archives, which are read back as chunk rows (their bytes stay with the reader); of
+    each record its last row, which has the digest of the whole payload."""
     index, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
     last = warc.chunk_table(index, folder, data=False).where("is_last")
     return last.select(
@@ -41,15 +44,18 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal values replaced under the session's key, and counts by kind."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return pii.pseudonymise(documents).drop("lang")
+    return pii.pseudonymise(documents, pii.key_of(spark)).drop("lang")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts in sequences of 2048 tokens, a row per piece."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), window=2048)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the group of every text."""
     found = simhash.groups(table(spark, sf_dir, "documents"), words=3, bits=64, radius=2)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
@@ -66,12 +72,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict on every text."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge_documents(documents, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines of ten documents or more, as a digest."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = line_dedup.dedup_lines(documents, threshold=10, least=1)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -89,11 +97,11 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM g""",
     "op10_line_dedup": r"""
-        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
         k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-        f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN r END) >= 10)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM f)) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM f)), '')) AS kept_sha256
-        FROM k GROUP BY doc_id""",
+        FROM k GROUP BY r, doc_id""",
 }
