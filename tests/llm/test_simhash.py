@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -102,7 +103,7 @@ def test_one_of_each(spark):
     changed = base[:]
     changed[200] = "changed "
     texts = ["".join(base), "".join(changed), "".join(base).upper(), "something else altogether " * 3, " ".join(f"v{k}" for k in range(300))]
-    df = documents(spark, [*texts, texts[4], None], [5, 2, 9, 4, 6, 6, None])
+    df = documents(spark, [*texts, texts[4], None, None], [5, 2, 9, 4, 6, 6, None, None])
     assert sorted((r["doc_id"] for r in simhash.one_of_each(df).collect()), key=str) == [2, 4, 6, None]
     assert simhash.one_of_each(df).columns == df.columns
     assert simhash.one_of_each(df.where("false")).count() == 0
@@ -125,9 +126,43 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 8)
     texts = [" ".join(f"c{k}" if k != 5 * i % 390 else f"e{i}" for k in range(400)) for i in range(40)]
     assert [r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()] == [0]
-    rows = spark.createDataFrame([(1, bytearray([k] * 8), k % 3 if k > 20 else 9) for k in range(50)], "key long, fp binary, label long")
-    want = {(a, b) for a in range(50) for b in range(50) if a < b and not (a <= 20 and b <= 20) and not (a > 20 and b > 20 and a % 3 == b % 3)}
-    assert {(r["a"][0], r["b"][0]) for r in simhash.rest_of(rows, 64, 64).collect()} == want
+
+
+def test_every_two_labels_of_a_key_meet_once(spark, monkeypatch):
+    """Also where a key is cut into parts, by rows or by bytes; and a pair that shares several masks is looked at in one."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    masks = simhash.Masks(256, 40, 50)
+    label = lambda k: k % 3 if k > 20 else 9
+    want = {(a, b) for a in range(50) for b in range(a + 1, 50) if label(a) != label(b)}
+    for size in (0, 9 << 20):
+        rows = spark.createDataFrame([(bytearray([k] * 40), label(k), size) for k in range(50)], "fp binary, label long, size long")
+        sets = simhash.blocks(simhash.keyed(rows, masks, masks.first(), simhash.NODE)).collect()
+        on = np.array([masks.mask(p) for p in masks.first()])
+        met = []
+        for r in sets:
+            fps = pa.array(r["fps"], pa.binary())
+            w = simhash.words_of(fps, 256)
+            n = len(fps)
+            pairs = simhash.apart(w, np.array(r["labels"]), np.array(r["parts"]), np.full(n, r["same"]), np.full(n, int(r["path"])), on, simhash.near_steps(w, [n], 256))
+            met += [tuple(sorted((bytes(r["fps"][x])[0], bytes(r["fps"][y])[0]))) for i, j in pairs for x, y in zip(i, j)]
+        assert len(met) == len(set(met)) and set(met) == {(a, b) for a, b in want if any((differ(a, b) & m == 0).all() for m in on)}
+
+
+def differ(a, b):
+    return np.frombuffer(bytes([a ^ b]) * 32, ">u8").astype(np.uint64)
+
+
+def test_jaccard_of_many_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 30000, n).astype(np.uint64)) for n in (0, 0, 1, 5, 50, 20000, 20000, 25000)] + [np.arange(100, dtype=np.uint64), np.arange(20, 120, dtype=np.uint64)]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(len(sets)) for b in range(len(sets))]))
+    got = simhash.jaccard_pairs(sets, i, j)
+    for a, b, v in zip(i, j, got):
+        x, y = set(sets[a].tolist()), set(sets[b].tolist())
+        if a == b:
+            continue  # values that one set alone has are left out
+        assert v == (len(x & y) / len(x | y) if x | y else 1.0)
+    assert len(simhash.jaccard_pairs(sets, i[:0], j[:0])) == 0
 
 
 def test_large_buckets_of_sampled_masks_lose_no_link(spark, monkeypatch):
@@ -143,8 +178,41 @@ def test_large_buckets_of_sampled_masks_lose_no_link(spark, monkeypatch):
     assert len(set(root.values())) == 1
 
 
-def test_unfinished_components_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MOST_ROUNDS", 1)
-    edges = spark.range(1, 9).selectExpr("cast(cast(id as string) as binary) as a", "cast(cast(id - 1 as string) as binary) as b")
-    with pytest.raises(RuntimeError):
-        simhash.components(edges).collect()
+def test_one_row_of_each_document_whatever_its_id(spark):
+    """Rows that share an id but not their text are documents of their own; ties go by text and by the whole row."""
+    a, b = "alpha beta gamma delta epsilon zeta", "quite another text about something else"
+    df = spark.createDataFrame([(6, a, "x"), (6, b, "x"), (2, a, "x"), (2, a, "w"), (2, a, "w"), (None, b, "x"), (None, "alone without an id at all", "x"), (None, "alone without an id at all", "x"), (9, None, "x"), (8, " \n", "x")], "DOC_ID bigint, Text string, own string")
+    got = sorted(((r[0], r[1]) for r in simhash.one_of_each(df).collect()), key=str)
+    assert got == sorted([(2, a), (6, b), (8, " \n"), (None, "alone without an id at all")], key=str)
+    assert {r["own"] for r in simhash.one_of_each(df).where("DOC_ID = 2").collect()} == {r["own"] for r in simhash.one_of_each(df.orderBy("own")).where("DOC_ID = 2").collect()}
+
+
+def test_extra_columns_of_any_name_and_kind(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", {"k": 1}, "x", "y"), (2, "a b c d e f", {"k": 2}, "x", "y")], "doc_id bigint, text string, Rep map<string,int>, `odd.name` string, TEXT string")
+    (r,) = simhash.one_of_each(df).collect()
+    assert simhash.one_of_each(df).columns == df.columns and tuple(r) == (1, "a b c d e f", {"k": 1}, "x", "y")
+    assert {r["component_id"] for r in simhash.groups(df).collect()} == {1}
+    with pytest.raises(ValueError, match="no column"):
+        simhash.groups(df.drop("text", "TEXT"))
+
+
+def similar_sets(rng, similarity, n=300):
+    """Hashes of two sets of shingles of this Jaccard similarity."""
+    own = round(n * (1 - similarity) / (1 + similarity))
+    x = rng.integers(0, 2**63, n + own, np.uint64)
+    return x[:n], x[own:]
+
+
+@pytest.mark.parametrize("corpus", [200_000, 10_000_000, 10**9])
+def test_recall_of_the_pipelines_search(corpus):
+    """Of pairs at a similarity from 0.8 up, by band, how many lie within the radius and share a mask's bits."""
+    rng = np.random.default_rng(corpus)
+    masks = simhash.Masks(256, 53, corpus, simhash.distance_at(0.8, 256, 1))
+    on = np.array([masks.mask(p) for p in masks.first()])
+    for similarity, least in ((0.8, 0.93), (0.85, 0.98), (0.9, 0.99), (0.95, 0.99)):
+        found = 0
+        for _ in range(200):
+            x, y = (np.frombuffer(simhash.majority(s, 256), ">u8").astype(np.uint64) for s in similar_sets(rng, similarity))
+            differ = x ^ y
+            found += np.bitwise_count(differ).sum() <= 53 and ((differ & on) == 0).all(axis=1).any()
+        assert found >= 200 * least, (similarity, found)
