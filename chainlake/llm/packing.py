@@ -1,14 +1,19 @@
 """Lexical retrieval packing: sequences of a fixed length, filled by a document and its nearest unused neighbours.
 
-1. Every text is encoded once; its ids are written to the shared folder, along with its telling id: the one of highest
-   term frequency and rarity, as the vocabulary ranks it. Every task also writes the document frequencies of its rows.
-2. Document frequencies and the tokens of each telling id are summed. Tables of the vocabulary's size (a fixed bound)
-   are all that reaches the driver.
-3. Telling ids are laid out into shards of about SHARD tokens: rare ones share a shard, a frequent one is split over as
-   many as it needs by a hash of the document. So a shard is bounded whatever the texts are, and holds texts that share
-   their telling words.
-4. Each shard builds its BM25 inverted index. A seed document's best ids are looked up, and its unused neighbours, best
-   first, fill the window. What doesn't fit is cut and seeds the next window, so only a shard's last window is short.
+1. Every text is encoded once; its ids are written to the shared folder. Every task also writes the document
+   frequencies of its rows. These are summed; a table of the vocabulary's size (a fixed bound) is all that reaches the
+   driver.
+2. Every document gets a key: its TELLING ids of highest weight (term frequency and rarity), the most telling first.
+   Documents are sorted by key over the whole corpus, in ranges, so those with the same telling ids stand together. A
+   frequent first id is cut by the second and so on, equal keys by a hash of the document: no key is too large.
+3. The sorted stream of a task is cut into shards of about SHARD tokens, one of which is in memory at a time.
+4. Each shard builds its BM25 inverted index. A seed document is looked up with all of its ids, and its unused
+   neighbours, best first, fill the window. What doesn't fit is cut and seeds the next window, so only a shard's last
+   window is short.
+
+Neighbours are those of the shard, so a window's best neighbour in the whole corpus is found only if the keys bring it
+there. An exact search would read, for each seed, the postings of all of its ids: a share of the corpus that doesn't
+fall as it grows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +39,12 @@ WINDOW = 2048
 END_ID = 1
 #: Tokens of one shard; a shard holds one document more at most.
 SHARD = 1 << 20
-#: BM25's usual parameters. A query takes so many of the seed's ids.
-K1, B, QUERY_IDS = 1.2, 0.75, 12
+#: Shards of one task, and tasks at most; beyond, a task takes more shards, one after the other.
+TASK_SHARDS, MOST_TASKS = 4, 20_000
+#: Ids that make up a document's key.
+TELLING = 4
+#: BM25's usual parameters.
+K1, B = 1.2, 0.75
 #: Neighbours that are ranked at once.
 SOON = 32
 
@@ -102,47 +112,53 @@ class PieceIds(Memo):
         super().__init__(encode)
 
 
+@lru_cache(maxsize=2)
+def piece_ids(path: str) -> PieceIds:
+    """One for each Python worker, which keeps what it has learned from task to task."""
+    return PieceIds(path)
+
+
 def width_of(path: str) -> str:
     """How ids are stored: two bytes if the vocabulary allows it."""
     return "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
 def encoded(df: DataFrame, vocab_path: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian, END_ID included), n_tokens, telling of every row; written.
+    """doc_id, ids (binary, little-endian, END_ID included), n_tokens and a number of its own of every row; written.
 
-    Rows without ids hold what a task has counted: ``df``, pairs of (id, documents) as 64-bit numbers.
+    Rows without ids hold what a task has counted: ``df``, pairs of (id, documents) as 64-bit numbers. A null text is
+    END_ID alone, as an empty one is; an empty table gives no rows.
     """
     rows = id_and_text(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = PieceIds(vocab_path)
+        memo, n = piece_ids(vocab_path), TaskContext.get().partitionId() << 40
         end, n_vocab = np.array([END_ID], memo.kind).tobytes(), tokenizer(vocab_path).get_vocab_size(with_added_tokens=True)
-        rank, seen = np.log1p(np.arange(n_vocab)), np.zeros(n_vocab, np.int64)
-        names, doc_type = ["doc_id", "ids", "n_tokens", "telling", "df"], None
+        seen = np.zeros(n_vocab, np.int64)
+        names, doc_type = ["doc_id", "ids", "n_tokens", "row", "df"], None
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            ids, tokens, telling = [], [], []
+            ids, tokens = [], []
             for t in batch.column("text"):
                 raw = b"".join(map(memo.__getitem__, pieces(t.as_py()))) + end
                 x = np.frombuffer(raw, memo.kind)
-                terms, tf = tally(x[:-1])
-                seen[terms] += 1
-                seen[END_ID] += END_ID not in terms[:2]
+                seen[tally(x)[0]] += 1
                 ids.append(raw)
                 tokens.append(len(x))
-                telling.append(int(terms[np.argmax(tf / (tf + K1) * rank[terms])]) if len(terms) else END_ID)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(telling, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(np.arange(n, n + len(ids))), pa.nulls(len(ids), pa.binary())], names)
+            n += len(ids)
         if doc_type is not None:
             at = np.flatnonzero(seen)
             counted = np.stack([at, seen[at]], 1).astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counted], pa.binary())], names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialise(arrow_pass(rows, run, f"doc_id {kind}, ids binary, n_tokens long, telling long, df binary"), "packing-ids")
+    return materialise(arrow_pass(rows, run, f"doc_id {kind}, ids binary, n_tokens long, row long, df binary"), "packing-ids")
 
 
 def document_frequencies(table: DataFrame, n_vocab: int) -> np.ndarray:
-    """By id the number of documents that have it. Tasks add up and return n_vocab rows at most."""
+    """By id the number of documents that have it, from what encoded() has counted; 0 for ids that none has, all 0 for an
+    empty table. Repeated rows count each. Tasks add up and return n_vocab rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(n_vocab, np.int64)
@@ -159,21 +175,27 @@ def document_frequencies(table: DataFrame, n_vocab: int) -> np.ndarray:
     return out
 
 
-def layout(tokens: dict[int, int], shard: int) -> list[tuple[int, int, int]]:
-    """By telling id its first shard and the number of its shards."""
-    out, at, held = [], 0, 0
-    for t, n in sorted(tokens.items()):
-        if n > shard:
-            at += held > 0
-            splits = -(-n // shard)
-            out.append((t, at, splits))
-            at, held = at + splits, 0
-            continue
-        if held + n > shard:
-            at, held = at + 1, 0
-        out.append((t, at, 1))
-        held += n
-    return out
+def telling_keys(table: DataFrame, kind: str, idf) -> DataFrame:
+    """doc_id, ids, row and key (binary, ordered as the ids in it are) of every document; narrow.
+
+    An id that one document alone has tells of no neighbour and is left out; fewer ids than TELLING give a shorter key.
+    ``idf`` is a broadcast array, 0 for what is to be left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = idf.value
+        for batch in batches:
+            keys = []
+            for raw in batch.column("ids"):
+                terms, tf = tally(np.frombuffer(raw.as_buffer(), kind)[:-1])
+                w = tf / (tf + K1) * weight[terms]
+                if len(w) > TELLING:
+                    best = np.argpartition(-w, TELLING)[:TELLING]
+                    terms, w = terms[best], w[best]
+                keys.append(terms[np.lexsort((terms, -w))][: int((w > 0).sum())].astype(">u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "ids", "row")), pa.array(keys, pa.binary())], ["doc_id", "ids", "row", "key"])
+
+    return arrow_pass(table.select("doc_id", "ids", "row"), run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, ids binary, row long, key binary")
 
 
 class Shard:
@@ -192,17 +214,12 @@ class Shard:
         self.by_doc = np.argsort(self.doc.astype(np.uint16 if self.n <= 1 << 16 else np.int64), kind="stable")
         self.cut = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
 
-    def best(self, doc: int) -> np.ndarray:
-        """The places of a document's ids of highest weight."""
-        own = self.by_doc[self.cut[doc] : self.cut[doc + 1]]
-        return self.slot[own[np.argsort(-self.weight[own], kind="stable")[:QUERY_IDS]]]
-
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """The unused documents that share one of the seed's best ids, best first, the first on ties."""
-        score = np.zeros(self.n)
-        for s in self.best(seed):
-            a, b = self.starts[s], self.starts[s + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
+        """The unused documents that share an id with the seed, best first, the first on ties."""
+        own = self.slot[self.by_doc[self.cut[seed] : self.cut[seed + 1]]]
+        first, n = self.starts[own], self.starts[own + 1] - self.starts[own]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.doc[at], self.weight[at], self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         if len(found) > 2 * SOON:  # a window takes a few; the others are sorted only if they are asked for
@@ -250,32 +267,47 @@ def pack(df: DataFrame, vocab_path: str, window: int = WINDOW, shard: int = SHAR
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     A null or empty text is END_ID alone. A null id stays null; repeated rows are packed each, so a doc_id may have the
-    same piece twice. Ties go to the document that comes first by id and ids. An empty table gives an empty result.
-    Other columns are not read. sequence_id is unique over all shards; the same input gives the same sequences.
+    same piece twice, and any number of them is spread over shards. Ties go to the document that comes first by a hash
+    of its id and ids. An empty table gives an empty result. Other columns, whatever they are called, are not read.
+    sequence_id is unique over all shards; the same files give the same sequences.
     """
-    spark = df.sparkSession
     table = encoded(df, vocab_path, id_col, text_col)
     kind, n_vocab = width_of(vocab_path), tokenizer(vocab_path).get_vocab_size(with_added_tokens=True)
-    docs = table.where("ids is not null").select("doc_id", "ids", "n_tokens", "telling")
-    sums = docs.groupBy("telling").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()  # n_vocab rows at most
-    n_docs, n_tokens = sum(r["docs"] for r in sums), sum(r["tokens"] for r in sums)
+    docs = table.where("ids is not null")
+    sums = docs.agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).first()
+    n_docs, n_tokens = sums["docs"], sums["tokens"] or 0
     df_of = document_frequencies(table, n_vocab)
     idf = np.log1p((n_docs - df_of + 0.5) / (df_of + 0.5))
     mean = n_tokens / max(n_docs, 1)
+    spark = df.sparkSession
     shared = spark.sparkContext.broadcast(idf)  # a number for each id of the vocabulary
-    places = spark.createDataFrame(layout({r["telling"]: r["tokens"] for r in sums}, shard), "telling long, first long, splits long")
-    salt = F.pmod(F.xxhash64("doc_id", "ids"), F.col("splits"))
-    dealt = docs.join(F.broadcast(places), "telling").select((F.col("first") + salt).alias("shard"), "doc_id", "ids")
-
-    def pack_shard(group: pa.Table) -> pa.Table:
-        idf = shared.value
-        rows = sorted(zip(group.column("doc_id").to_pylist(), group.column("ids").to_pylist()), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
-        docs = [np.frombuffer(r[1], kind) for r in rows]
-        index = Shard(docs, idf, mean)
-        top = group.column("shard")[0].as_py() << 32
-        out = [(rows[d][0], a, n, zlib.crc32(docs[d][a : a + n].astype("<u4").tobytes()), len(docs[d]), top + s, at) for d, a, n, s, at in fill(index, window)]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.Table.from_arrays([pa.array(c, group.schema.field("doc_id").type if k == 0 else pa.int64()) for k, c in enumerate(zip(*out))], names)
+    telling = spark.sparkContext.broadcast(np.where(df_of > 1, idf, 0.0))
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(MOST_TASKS, max(-(-n_tokens // (TASK_SHARDS * shard)), min(cores, -(-n_tokens // shard)))))
+    keyed = telling_keys(docs, kind, telling).withColumn("salt", F.xxhash64("doc_id", "ids"))
+    order = ["key", "salt", "row"]
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def pack_shard(rows: list[tuple], top: int, doc_type: pa.DataType) -> pa.RecordBatch:
+        held = [np.frombuffer(r[1], kind) for r in rows]
+        index = Shard(held, shared.value, mean)
+        out = [(rows[d][0], a, n, zlib.crc32(held[d][a : a + n].astype("<u4").tobytes()), len(held[d]), top + s, at) for d, a, n, s, at in fill(index, window)]
+        return pa.RecordBatch.from_arrays([pa.array(c, doc_type if k == 0 else pa.int64()) for k, c in enumerate(zip(*out))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, size, rows = TaskContext.get().partitionId(), 0, 0, []
+        doc_type = None
+        for batch in batches:
+            doc_type = batch.schema.field("doc_id").type
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                rows.append((doc_id, ids))
+                size += len(ids) // np.dtype(kind).itemsize
+                if size >= shard:
+                    yield pack_shard(rows, task << 44 | n << 24, doc_type)
+                    n, size, rows = n + 1, 0, []
+        if rows:
+            yield pack_shard(rows, task << 44 | n << 24, doc_type)
 
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("shard").applyInArrow(pack_shard, f"doc_id {doc_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return arrow_pass(dealt, run, f"doc_id {doc_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -56,7 +56,7 @@ def test_shards_split_what_is_frequent(spark):
     texts = [f"zebra zebra zebra number {i}" for i in range(300)] + [f"apple {i} pie" for i in range(50)]
     rows = packing.pack(documents(spark, texts), PATH, window=32, shard=400).collect()
     docs = {i: ids_of(t) for i, t in enumerate(texts)}
-    shards = {r["sequence_id"] >> 32 for r in rows}
+    shards = {r["sequence_id"] >> 24 for r in rows}
     assert len(shards) > 4
     verify(rows, docs, 32, len(shards))
     assert packing.pack(documents(spark, texts).where("false"), PATH).count() == 0
@@ -72,7 +72,7 @@ def test_repeated_rows_and_null_ids(spark):
 def test_neighbours_are_bm25s_best():
     docs = [np.array(x) for x in ([5, 6, 7, 1], [5, 6, 7, 8, 1], [9, 10, 1], [7, 11, 1], [5, 6, 1])]
     idf = np.ones(20)
-    index = packing.Shard(docs, idf, 4.0)
+    index = packing.Shard(docs, idf, 4.0)  # all of a seed's ids are looked up
     used = np.zeros(5, bool)
     used[0] = True
 
@@ -96,3 +96,41 @@ def test_any_text_is_encoded_as_the_library_does(texts):
     for t in texts:
         got = np.frombuffer(b"".join(memo[p] for p in packing.pieces(t)), "<u2")
         assert got.tolist() == ids_of(t)[:-1].tolist()
+
+
+def test_copies_are_spread_over_shards(spark):
+    """Repeated rows without an id: equal in everything, and still no shard takes more than its share."""
+    rows = packing.pack(documents(spark, ["the same text again"] * 400, [None] * 400), PATH, window=64, shard=200).collect()
+    n = len(ids_of("the same text again"))
+    held = collections.Counter()
+    for r in rows:
+        held[r["sequence_id"] >> 24] += r["length"]
+    assert sum(held.values()) == 400 * n and max(held.values()) < 200 + n and sum(r["start"] == 0 for r in rows) == 400
+
+
+def test_neighbours_by_brute_force_over_a_table(spark):
+    """In one shard every window's documents are the seed's best unused ones, by a plain BM25 over all pairs."""
+    import math
+
+    docs = {r["doc_id"]: ids_of(r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack(table, PATH, window=2048, shard=1 << 40).collect()
+    verify(rows, docs, 2048)
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    tf = {k: collections.Counter(x.tolist()) for k, x in docs.items()}
+    seen = collections.Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log1p((n - m + 0.5) / (m + 0.5)) for t, m in seen.items()}
+    weight = {k: {t: idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(docs[k]) / mean)) for t, f in c.items()} for k, c in tf.items()}
+    pieces = sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))
+    used, seed, last = set(), None, None
+    for r in pieces:
+        if r["offset"] == 0:
+            seed = r["doc_id"]
+        if r["start"] == 0 and r["doc_id"] not in used:
+            if r["offset"] and last == (r["sequence_id"], True):
+                score = lambda k: sum(w for t, w in weight[k].items() if t in tf[seed])  # noqa: B023, E731
+                best = max(score(k) for k in docs if k not in used)
+                assert score(r["doc_id"]) >= best - 1e-6
+            used.add(r["doc_id"])
+        done = r["start"] + r["length"] == r["doc_tokens"]
+        last = (r["sequence_id"], done)
