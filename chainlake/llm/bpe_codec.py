@@ -10,14 +10,16 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import LONGEST, Memo, Vocabulary, vocabulary
-from .common import arrow_pass, id_and_text
+from .common import arrow_pass, id_and_text, numbered, place_of
 
 #: Characters of text that share one index, unless a single text is longer.
 INDEXED = 4 << 20
@@ -102,6 +104,12 @@ def encode_texts(texts: list[str], known: PieceIds) -> Iterator[list[int]]:
         yield ids
 
 
+@lru_cache(maxsize=2)
+def piece_ids(vocab_path: str) -> PieceIds:
+    """One for each Python worker, which keeps what it has learned from task to task."""
+    return PieceIds(vocabulary(vocab_path))
+
+
 def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
     """The text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
     return b"".join(map(vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -129,7 +137,7 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     rows = id_and_text(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = PieceIds(vocabulary(vocab_path))
+        known = piece_ids(vocab_path)
         for batch in batches:
             at = 0
             for part in slices(batch.column("text").to_pylist()):
@@ -143,7 +151,8 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
 
 def decode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text of every row of ids; the inverse of encode_documents. Null ids give the empty text."""
-    rows = df.select(df[id_col].alias("doc_id"), df[ids_col].cast("array<int>").alias("ids"))
+    doc_id, ids = (F.col(f"c{place_of(df, c)}") for c in (id_col, ids_col))
+    rows = numbered(df).select(doc_id.alias("doc_id"), ids.cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
@@ -165,7 +174,7 @@ def codec_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        known, decimal = PieceIds(vocab), {i: str(i) for i in vocab.bytes_of}
+        known, decimal = piece_ids(vocab_path), {i: str(i) for i in vocab.bytes_of}
         for batch in batches:
             n, coded, decoded = [], [], []
             for part in slices(batch.column("text").to_pylist()):

@@ -8,6 +8,7 @@ The count is the initial number of symbols minus the merges made.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -61,6 +62,12 @@ class TokenCounter:
         return len(parts) // 2 + sum(sum(map(self.memo.__getitem__, self.vocab.pieces(p))) for p in parts[::2])
 
 
+@lru_cache(maxsize=2)
+def counter(vocab_path: str) -> TokenCounter:
+    """One for each Python worker, which keeps what it has learned from task to task."""
+    return TokenCounter(vocabulary(vocab_path))
+
+
 def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row; one narrow pass.
 
@@ -70,7 +77,7 @@ def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str =
     rows = id_and_text(df, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = TokenCounter(vocabulary(vocab_path))
+        counts = counter(vocab_path)
         for batch in batches:
             n = [counts.of(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
