@@ -96,6 +96,25 @@ def test_any_text_is_encoded_as_the_library_does(texts):
     for t in texts:
         got = np.frombuffer(b"".join(memo[p] for p in packing.pieces(t)), "<u2")
         assert got.tolist() == ids_of(t)[:-1].tolist()
+    together = [np.frombuffer(x, "<u2").tolist() for x in packing.encoder(PATH).texts(texts)]
+    assert together == [ids_of(t)[:-1].tolist() for t in texts]
+
+
+CONTRACTIONS = st.text(st.sampled_from("'streavlmdD12 \n\xa0\x85\x1cé.!ßÉ<|"), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(CONTRACTIONS, min_size=1, max_size=6))
+def test_pieces_are_cut_as_the_library_does(texts):
+    assert [np.frombuffer(x, "<u2").tolist() for x in packing.encoder(PATH).texts(texts)] == [ids_of(t)[:-1].tolist() for t in texts]
+
+
+def test_the_encoders_table_starts_anew(monkeypatch):
+    e = packing.Encoder(PATH)
+    monkeypatch.setattr(e, "AT_ONCE", 400)
+    monkeypatch.setattr(e, "MOST", 300)
+    texts = [f"word{k % 7} {'x' * (k % 60)} more{k}" for k in range(200)] + ["y" * 1000]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.texts(texts)] == [ids_of(t)[:-1].tolist() for t in texts]
 
 
 def test_copies_are_spread_over_shards(spark):
