@@ -7,11 +7,12 @@ bucket. Two kinds of masks:
   Two fingerprints within the radius agree on one part, and outside it on one part of the rest, so no link is lost.
 * sampled, for large radii: so many random masks that a pair at a given distance meets with probability RECALL. The
   bits of a mask grow with the logarithm of the number of fingerprints, so buckets don't grow with the corpus; the
-  number of masks then grows as a power of it (about 0.25 at 39 of 256 bits), and with it what is shuffled.
+  number of masks then grows as a power of it (0.28 at 45 of 256 bits), and with it what is shuffled. Buckets of a
+  thousand, which the bit-sliced comparison can afford, keep it low.
 
 A bucket of an exact mask with more than BUCKET fingerprints is not compared but dealt again by masks that extend its
-own; this ends because distinct fingerprints that agree on all bits don't exist. A bucket of a sampled mask that is as
-large is compared in blocks, each two in a task's reach, so no pair that shares a bucket is lost; this costs the square
+own; this ends because distinct fingerprints that agree on all bits don't exist. A bucket of a sampled mask with more
+than SAMPLED_BUCKET is compared in blocks, each two in a task's reach, so no pair that shares a bucket is lost; this costs the square
 of the bucket's size, but for those that are known to be of one group. Copies of a text are one fingerprint, so a large
 group of copies costs nothing here.
 """
@@ -31,12 +32,15 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, discard, id_and_text, materialise, numbered, place_of, row_hash, written
 
 SEED = 42
-#: Fingerprints compared with each other at most; beyond, a bucket is dealt again.
-BUCKET = 1024
+#: Fingerprints compared with each other at most; beyond, a bucket of an exact mask is dealt again, one of a sampled
+#: mask compared in blocks.
+BUCKET, SAMPLED_BUCKET = 1024, 4096
 #: The chance that sampled masks bring a pair at the given distance together, and the fingerprints of one bucket aimed at.
-RECALL, AIM = 0.95, 96
+RECALL, AIM = 0.95, 1024
 #: Bytes of shingle hashes that one block's verification holds, about; a block has at least one fingerprint.
 BLOCK_BYTES = 32 << 20
+#: Bits of the map by which rows that can't be looked for are left out before a shuffle.
+MAP_BITS = 1 << 23
 #: Texts of which a task remembers that it has written their shingles.
 REMEMBERED = 1 << 17
 #: (query, block) pairs in one step of the comparison.
@@ -419,8 +423,8 @@ def nearest_lower(rows: DataFrame, bits: int, radius: int) -> tuple[DataFrame, D
     """b, a: every b that meets another within the radius, with the nearest lower one, null if all are above; and the
     keys (written) of buckets that are too large, which are cut at random here: what that leaves out is not seen.
     """
-    hot = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET), "hot-keys")
-    cut = F.coalesce(F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") * 2 / BUCKET)), F.lit(0))
+    hot = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SAMPLED_BUCKET), "hot-keys")
+    cut = F.coalesce(F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") * 2 / SAMPLED_BUCKET)), F.lit(0))
     dealt = rows.join(hot, "key", "left").groupBy("key", cut.alias("cut")).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
 
     def pairs_of(rows: dict, steps: Iterator) -> Iterator[pa.RecordBatch]:
@@ -450,7 +454,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     """block, path, same, fps, labels, parts: of rows (key, path, fp, label, size) the sets in which every two of a key
     with different labels meet.
 
-    A key of more than BUCKET rows, or of sets of more than BLOCK_BYTES, is cut into parts, and each two of its parts meet
+    A key of more than SAMPLED_BUCKET rows, or of sets of more than BLOCK_BYTES, is cut into parts, and each two of its parts meet
     in a set of their own, and each with itself (``same``); parts of the label that most of its rows have don't meet one
     another. A key with one label has nothing to compare.
     """
@@ -458,9 +462,9 @@ def blocks(rows: DataFrame) -> DataFrame:
     most = F.max(F.struct("n", "bytes", "label"))
     keys = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), most.alias("m"), F.count("*").alias("labels")).where("labels > 1")
     keys = materialise(keys.select("key", "n", "bytes", F.col("m.n").alias("n_most"), F.col("m.bytes").alias("bytes_most"), F.col("m.label").alias("most")), "mixed-keys")
-    parts = lambda n, size: F.greatest(F.ceil(n / (BUCKET // 2)), F.ceil(size / (BLOCK_BYTES // 2)), F.lit(1))
+    parts = lambda n, size: F.greatest(F.ceil(n / (SAMPLED_BUCKET // 2)), F.ceil(size / (BLOCK_BYTES // 2)), F.lit(1))
     p, q = parts(F.col("n") - F.col("n_most"), F.col("bytes") - F.col("bytes_most")), parts(F.col("n_most"), F.col("bytes_most"))
-    small = (F.col("n") <= BUCKET) & (F.col("bytes") <= BLOCK_BYTES)
+    small = (F.col("n") <= SAMPLED_BUCKET) & (F.col("bytes") <= BLOCK_BYTES)
     main = F.col("label") == F.col("most")
     zero = F.lit(0).cast("long")
     dealt = rows.join(keys, "key").withColumn("p", p).withColumn("q", q)
@@ -595,6 +599,19 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return arrow_pass(now.select("a", "b", "of_a", "of_b"), run, "a binary, b binary")
 
 
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose fp is in ``wanted`` (fp, each once).
+
+    First a bitmap of MAP_BITS hashed places, 131,072 words at any size, is broadcast, so that rows that aren't wanted
+    mostly stay out of the join's shuffle as long as less than millions are wanted; then the join decides.
+    """
+    place = F.pmod(F.xxhash64("fp"), F.lit(MAP_BITS))
+    bit = lambda: F.expr("shiftleft(1L, cast(place % 64 as int))")
+    words = wanted.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit()).alias("bits"))
+    likely = rows.withColumn("place", place).withColumn("word", F.floor(F.col("place") / 64)).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit()) != 0)
+    return likely.select(*rows.columns).join(wanted, "fp", "left_semi")
+
+
 def distance_at(similarity: float, bits: int, deviations: float = 0) -> float:
     """The distance of fingerprints that sets of a Jaccard similarity are expected to have, and so many standard deviations
     more: each bit differs with the angle's share of the half turn."""
@@ -618,7 +635,7 @@ def alike(docs: DataFrame, bits: int, radius: int, least: float) -> DataFrame:
     met = near_ones.select(F.col("b").alias("fp"))
     if not hot.isEmpty():
         met = met.union(rows.join(hot, "key", "left_semi").select("fp")).distinct()
-    held = docs.where("shingles is not null").select("fp", "shingles").join(materialise(met, "met"), "fp", "left_semi")
+    held = among(docs.where("shingles is not null").select("fp", "shingles"), materialise(met, "met"))
     sets = materialise(held.groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingle-sets")
     first = materialise(verified(near_ones.where("a is not null").select("a", "b"), sets, least), "verified")
     roots_of = components(first)

@@ -123,14 +123,14 @@ def test_only_pairs_at_the_similarity_are_near_duplicates(spark):
 
 
 def test_large_buckets_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash, "SAMPLED_BUCKET", 8)
     texts = [" ".join(f"c{k}" if k != 5 * i % 390 else f"e{i}" for k in range(400)) for i in range(40)]
     assert [r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()] == [0]
 
 
 def test_every_two_labels_of_a_key_meet_once(spark, monkeypatch):
     """Also where a key is cut into parts, by rows or by bytes; and a pair that shares several masks is looked at in one."""
-    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash, "SAMPLED_BUCKET", 8)
     masks = simhash.Masks(256, 40, 50)
     label = lambda k: k % 3 if k > 20 else 9
     want = {(a, b) for a in range(50) for b in range(a + 1, 50) if label(a) != label(b)}
@@ -167,7 +167,7 @@ def test_jaccard_of_many_pairs():
 
 def test_large_buckets_of_sampled_masks_lose_no_link(spark, monkeypatch):
     """All 40 rows agree on all sampled masks' buckets; each links to its neighbour only, at the radius itself."""
-    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash, "SAMPLED_BUCKET", 8)
     monkeypatch.setattr(simhash.Masks, "mask", lambda self, path: np.zeros(self.bits // 64, np.uint64))
     values = [((1 << 6 * k) - 1) for k in range(40)]
     df = simhash.materialise(spark.createDataFrame([(bytearray(v.to_bytes(32, "big")),) for v in values], "fp binary"), "test")
