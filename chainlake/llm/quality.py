@@ -85,25 +85,26 @@ def base_counts(text: Column) -> dict[str, Column]:
 
 
 def ngrams(text: Column) -> Column:
-    """The buckets of a text's unigrams, then of its bigrams."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    """The buckets of a text's unigrams, then of its bigrams, as short integers."""
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("smallint")
     both = lambda t: F.concat(F.transform(t, lambda x: bucket(x)), F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: bucket(a, b)))
     of = lambda t: F.when(F.size(t) < 2, F.transform(t, lambda x: bucket(x))).otherwise(both(t))
     return let(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), of)
 
 
-def weights(texts: DataFrame, trusted: DataFrame) -> Column:
+def weights(rows: DataFrame, trusted: DataFrame) -> Column:
     """A literal array: by bucket, the log ratio of the trusted and the raw multinomial in millionths.
 
     It comes to the driver and into the plan, as it has BUCKETS numbers at any size of the corpus.
 
-    Raw counts are of all rows; trusted ones of the rows whose id is in ``trusted`` (doc_id, each once), of which
-    TRUSTED are used. Counting is combined before its shuffle to BUCKETS rows a task at most.
+    ``rows``: doc_id, grams (see ngrams()). Raw counts are of all rows; trusted ones of the rows whose id is in
+    ``trusted`` (doc_id, each once), of which TRUSTED are used. Counting is combined before its shuffle to BUCKETS rows a
+    task at most.
     """
     chosen = trusted.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("good", F.lit(1))
-    marked = texts.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngrams(F.col("text"))).alias("bucket"))
+    marked = rows.join(F.broadcast(chosen), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode("grams").alias("bucket"))
     counted = materialise(marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), "ngram-counts")
-    every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
+    every = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("smallint").alias("bucket")).join(counted, "bucket", "left")
     counts = every.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     row = counts.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
     extra = F.lit(SMOOTHING) * F.col("n_good") + F.lit(1.0)
@@ -115,10 +116,27 @@ def weights(texts: DataFrame, trusted: DataFrame) -> Column:
     return F.from_json(F.lit(found["w"]), "array<int>")
 
 
-def score(text: Column, w: Column) -> Column:
-    """The mean weight of a text's n-grams; 0 if it has none."""
+def score(grams: Column, w: Column) -> Column:
+    """The mean weight of n-grams; 0 if there are none."""
     total = lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, b: a + F.get(w, b))
-    return let(ngrams(text), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(total(g) / F.size(g) / 1_000_000))
+    return let(grams, lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(total(g) / F.size(g) / 1_000_000))
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id, each once, of those whose labels of quality that aren't null are all 1."""
+    known = numbered(labels).select(F.col(f"c{place_of(labels, 'doc_id')}").alias("doc_id"), F.col(f"c{place_of(labels, 'quality')}").alias("quality"))
+    return known.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
+
+
+JUDGED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+
+
+def judged(rows: DataFrame, plain: list[str], llr: Column, threshold: float, names: list[str]) -> DataFrame:
+    """The columns ``plain`` of rows, which has those of base_counts(), and JUDGED, all under their final names."""
+    n_words, n_repeat = F.col("_counts")["n_words"], F.col("_counts")["n_repeat_words"]
+    failed = (n_words < LEAST_WORDS) | (100 * n_repeat > MOST_REPEATED * n_words)
+    out = rows.select("*", llr.alias("_llr"))
+    return out.select(*plain, n_words, "word_chars", "n_symbols", "n_dup_lines", n_repeat, failed, "_llr", ~failed & (F.col("_llr") >= threshold)).toDF(*names, *JUDGED)
 
 
 def judge_documents(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,16 +147,28 @@ def judge_documents(df: DataFrame, labels: DataFrame, threshold: float = THRESHO
     decide. A null id is never trusted. Each row is judged by its text alone, so repeated rows get equal verdicts; in the
     raw counts each counts. A score at the threshold is kept. Names are matched by case only if two columns differ in
     nothing else; columns of df of the new names, in any case, are replaced. An empty table gives an empty result.
+
+    The n-grams of each text are taken twice, for the counts and for the scores; see verdicts() for once.
     """
     texts = id_and_text(df, id_col, text_col)
-    known = numbered(labels).select(F.col(f"c{place_of(labels, 'doc_id')}").alias("doc_id"), F.col(f"c{place_of(labels, 'quality')}").alias("quality"))
-    trusted = known.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
-    w = weights(texts, trusted)
+    w = weights(texts.select("doc_id", ngrams(F.col("text")).alias("grams")), trusted_ids(labels))
     text = F.coalesce(F.col(f"c{place_of(df, text_col)}").cast("string"), F.lit(""))
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-    stays = kept_columns(df, new)
-    plain = [F.col(f"c{k}") for k in stays]
-    out = numbered(df).select(*plain, *[c.alias(n) for n, c in base_counts(text).items()], score(text, w).alias("llr"))
-    n_words, n_repeat = F.col("_counts")["n_words"], F.col("_counts")["n_repeat_words"]
-    failed = (n_words < LEAST_WORDS) | (100 * n_repeat > MOST_REPEATED * n_words)
-    return out.select(*plain, n_words, "word_chars", "n_symbols", "n_dup_lines", n_repeat, failed, "llr", ~failed & (F.col("llr") >= threshold)).toDF(*[df.columns[k] for k in stays], *new)
+    stays = kept_columns(df, JUDGED)
+    plain = [f"c{k}" for k in stays]
+    rows = numbered(df).select(*plain, *[c.alias(n) for n, c in base_counts(text).items()], ngrams(text).alias("_grams"))
+    return judged(rows, plain, score(F.col("_grams"), w), threshold, [df.columns[k] for k in stays])
+
+
+def verdicts(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What judge_documents() gives, but for the text: so each text is read and cut once.
+
+    The base counts and the buckets of the n-grams, 14 bits each, are written to the shared folder and scored from there.
+    """
+    at_id, at_text = place_of(df, id_col), place_of(df, text_col)
+    text = F.coalesce(F.col(f"c{at_text}").cast("string"), F.lit(""))
+    stays = [k for k in kept_columns(df, JUDGED) if k != at_text]
+    plain = [f"c{k}" for k in stays]
+    own = numbered(df).select(F.col(f"c{at_id}").alias("doc_id"), *plain, *[c.alias(n) for n, c in base_counts(text).items()], ngrams(text).alias("grams"))
+    rows = materialise(own, "ngrams")
+    w = weights(rows.select("doc_id", "grams"), trusted_ids(labels))
+    return judged(rows, plain, score(F.col("grams"), w), threshold, [df.columns[k] for k in stays])

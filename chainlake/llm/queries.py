@@ -74,7 +74,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every text."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality.judge_documents(documents, table(spark, sf_dir, "labels"))
+    judged = quality.verdicts(documents, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -128,3 +128,7 @@ def test_scores_and_verdicts_by_brute_force(spark):
         i = r["doc_id"]
         assert abs(r["llr"] - want[i]) < 2e-6, texts[i][:50]
         assert r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD)
+    once = quality.verdicts(documents(spark, texts), labels(spark, [(i, 1, 0) for i in trusted]))
+    assert once.columns == [c for c in quality.judge_documents(documents(spark, texts), labels(spark, [])).columns if c != "text"]
+    assert sorted((r["doc_id"], r["llr"], r["kept"], r["n_words"]) for r in once.collect()) == sorted((r["doc_id"], r["llr"], r["kept"], r["n_words"]) for r in rows)
+    assert quality.verdicts(documents(spark, texts).where("false"), labels(spark, [])).count() == 0
