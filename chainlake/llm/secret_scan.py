@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from re import _constants as op, _parser as parser
+from re import _constants as op, _parser as parser  # the standard library's own parser, from Python 3.11 on; it has no public name
 
 from .common import arrow_pass, id_and_text
 
