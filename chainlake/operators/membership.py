@@ -73,18 +73,24 @@ def allowed_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("allowed", F.coalesce(ok, F.lit(False)))
 
 
-def pending(answered: DataFrame) -> DataFrame:
-    """Who waits for an operator's word."""
-    return answered.where("answer = 'prompt_pending'").select("member", "public_key", "address").distinct()
+def pending(answered: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Who waits for an operator's word; those who are members by now, admitted by one, no longer do."""
+    waiting = answered.where("answer = 'prompt_pending'").select("member", "public_key", "address").distinct()
+    return waiting if members is None else waiting.join(members.select("member").distinct(), "member", "left_anti")
+
+
+def admitted(waiting: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of those who wait the ones whose key an operator has admitted; their join records are what is written next."""
+    return waiting.join(keys.select("public_key").distinct(), "public_key", "left_semi")
 
 
 def detect(heartbeats: DataFrame, now_ms: int, suspect_after_ms: int, evict_after_ms: int) -> DataFrame:
     """cluster, member, last heard, state (member, syncing, lost) and whether the leader evicts it.
 
     ``heartbeats``: cluster, member, heard_ms (null: never), head_epoch, head_seq. A member is syncing while its head is
-    behind the most advanced head of its cluster.
+    behind the most advanced head of its cluster. Of equal stamps the one of the later head counts.
     """
-    last = heartbeats.groupBy("cluster", "member").agg(F.max("heard_ms").alias("heard_ms"), F.max_by(position("head_epoch", "head_seq"), "heard_ms").alias("head"))
+    last = heartbeats.groupBy("cluster", "member").agg(F.max("heard_ms").alias("heard_ms"), F.max_by(position("head_epoch", "head_seq"), F.struct("heard_ms", position("head_epoch", "head_seq"))).alias("head"))
     top = last.groupBy("cluster").agg(F.max("head").alias("_top"))
     silent = sat_sub(F.lit(now_ms), F.col("heard_ms"))
     lost = F.col("heard_ms").isNotNull() & (silent >= suspect_after_ms)

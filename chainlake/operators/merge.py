@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import position, sat_add
 from ..schema import ID
+from .prefix import numbered
 from .reads import Position, at_or_before
 
 
@@ -37,8 +38,7 @@ def reslot(survivor: DataFrame, branch: DataFrame, epoch: int, now_ms: int) -> D
     """
     new = branch.where(F.col("kind").isNotNull()).join(survivor.where(F.col("kind").isNotNull()).select(*ID).distinct(), ID, "left_anti")
     head = survivor.groupBy("journal").agg(F.max("slot_ts_ms").alias("_t"), F.max(F.when(F.col("epoch") == epoch, F.col("seq"))).alias("_s"))
-    w = Window.partitionBy("journal").orderBy(F.when(F.col("kind") == "leave", 1).otherwise(0), "epoch", "seq")
-    out = new.withColumn("_n", F.row_number().over(w)).join(head, "journal", "left")
+    out = numbered(new, "_n", F.when(F.col("kind") == "leave", 1).otherwise(0)).join(head, "journal", "left")
     return out.select(
         *ID, "kind", "ttl_ms", "payload_len", "entry_hash",
         F.col("epoch").alias("branch_epoch"), F.col("seq").alias("branch_seq"),

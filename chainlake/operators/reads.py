@@ -3,7 +3,9 @@ row groups; none of them sorts unless an order is asked for."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalar import position, position_text
@@ -55,9 +57,15 @@ def read(slots: DataFrame, journal=None, first=None, last=None, author=None, kin
     return out if until_ms is None else out.where(F.col("slot_ts_ms") <= until_ms)
 
 
-def read_by_ids(slots: DataFrame, ids: DataFrame) -> DataFrame:
-    """The latest occurrence of each id asked for. The ids go to the slots, and only what they match is ranked."""
-    hit = entries(slots).join(ids.select(*ID).distinct(), ID, "left_semi")
+def read_by_ids(slots: DataFrame, ids: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+    """The latest occurrence of each id asked for. The ids go to the slots, and only what they match is ranked.
+
+    ``visible``: the ids that a reader may see (expiry.visible() of their states); others are as if they didn't exist.
+    """
+    asked = ids.select(*ID).distinct()
+    if visible is not None:
+        asked = asked.join(visible.select(*ID), ID, "left_semi")
+    hit = entries(slots).join(asked, ID, "left_semi")
     last = hit.groupBy(*ID).agg(F.max_by(F.struct(*[c for c in slots.columns if c not in ID]), position()).alias("_r"))
     return last.select(*ID, "_r.*").select(*slots.columns)
 
@@ -95,3 +103,13 @@ def page_after(slots: DataFrame, journal, cursor: Position | None, size: int) ->
     if cursor:
         own = own.where((F.col("epoch") >= cursor[0]) & ((F.col("epoch") > cursor[0]) | (F.col("seq") > cursor[1])))
     return own.orderBy("epoch", "seq").limit(size)
+
+
+def for_each(slots: DataFrame, callback: Callable[[Row], None]) -> None:
+    """Calls back with every record, in the tasks that read them; in chain order if slots are sorted within partitions."""
+
+    def run(rows: Iterator[Row]) -> None:
+        for row in rows:
+            callback(row)
+
+    slots.foreachPartition(run)

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_hex_id, position
-from ..schema import DEFAULTS, FRAME_CAP_BYTES, LONGEST_AUTHORITY, SETTINGS
+from ..schema import DEFAULTS, FRAME_CAP_BYTES, KEY_INDEX, LONGEST_AUTHORITY, SETTINGS
 from ..shipping import ship
+from .prefix import last_known
 
 
 def column_of(key: str) -> str:
@@ -52,31 +53,30 @@ def in_force(slots: DataFrame, changes: DataFrame, keys: list[str], inclusive: b
     """slots with a column per key (dots become underscores): the setting in force at each slot.
 
     A slot is stamped with what stood before it; ``inclusive`` also counts its own change, as a query at a position
-    does. One sort per journal: the last value that isn't null, over the records so far.
+    does. The last value that isn't null over the records so far, sorted bucket by bucket, not journal by journal.
     """
-    wide = pivoted(changes, keys)
-    joined = slots.join(wide, ["journal", "epoch", "seq"], "left")
-    frame = Window.partitionBy("journal").orderBy("epoch", "seq").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    cols = [F.coalesce(F.last(column_of(k), ignorenulls=True).over(frame), F.lit(DEFAULTS[k])).alias(column_of(k)) for k in keys]
-    return joined.select(*[F.col(c) for c in slots.columns], *cols)
+    columns = [column_of(k) for k in keys]
+    known = last_known(slots, pivoted(changes, keys), columns, inclusive)
+    return known.select(*[F.col(f"`{c}`") for c in slots.columns], *[F.coalesce(column_of(k), F.lit(DEFAULTS[k])).alias(column_of(k)) for k in keys])
 
 
 def at_positions(positions: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Settings at given positions (journal, epoch, seq), own change included; before any change the defaults.
 
-    Positions need not be slots. The changes come in as rows of their own and are dropped afterwards.
+    Positions need not be slots. The changes come in as positions of their own and are dropped afterwards.
     """
-    asked = positions.select("journal", "epoch", "seq").distinct().withColumn("_ask", F.lit(1))
-    wide = pivoted(changes, keys).withColumn("_ask", F.lit(0))
-    rows = asked.unionByName(wide, allowMissingColumns=True)
-    frame = Window.partitionBy("journal").orderBy("epoch", "seq", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    cols = [F.coalesce(F.last(column_of(k), ignorenulls=True).over(frame), F.lit(DEFAULTS[k])).alias(column_of(k)) for k in keys]
-    return rows.select("journal", "epoch", "seq", "_ask", *cols).where("_ask = 1").drop("_ask")
+    asked = positions.select("journal", "epoch", "seq").distinct()
+    places = asked.withColumn("_ask", F.lit(1)).union(changes.select("journal", "epoch", "seq").distinct().withColumn("_ask", F.lit(0)))
+    each = places.groupBy("journal", "epoch", "seq").agg(F.max("_ask").alias("_ask"))
+    return in_force(each, changes, keys, True).where("_ask = 1").drop("_ask")
 
 
 def live_changeable(key: Column, value: Column, reconfigurable: Column) -> Column:
-    """Whether a key may be changed now: leadership.* only while reconfigurable, which itself may only be turned off."""
-    return F.when(key == "leadership.reconfigurable", reconfigurable).when(key.startswith("leadership."), reconfigurable).otherwise(F.lit(True))
+    """Whether a key may be changed now: leadership.* only while reconfigurable, which so can only be turned off for good.
+
+    Setting it to what it is changes nothing and is allowed while it is on, whatever the value.
+    """
+    return F.when(key.startswith("leadership."), reconfigurable).otherwise(F.lit(True))
 
 
 def state_error(enforce: Column, default_ms: Column, mode: Column, fallback: Column, authorities: Column, n_members: Column, resolves: Column, max_entry_bytes: Column) -> Column:
@@ -136,16 +136,22 @@ def broken_rule(state: dict, n_members: int, names: set[str]) -> str | None:
     return "max_entry_bytes_exceeds_frame_cap" if int(state["journal.max_entry_bytes"]) > FRAME_CAP_BYTES - 4096 else None
 
 
+def as_value(key: str, text: str) -> str | list[str]:
+    """A setting as broken_rule() takes it, from text; lists are joined by commas."""
+    if key != "leadership.authorities":
+        return text
+    return text.split(",") if text else []
+
+
 def replay(records: DataFrame) -> DataFrame:
     """journal, epoch, seq, refusal, and hash of the state after each settings record of a chain.
 
     ``records``: journal, epoch, seq, is_genesis, n_members, names (addresses and hex ids of the members), changes (array
-    of key, value; lists joined by commas). A record counts as a whole or not at all: first the live rules, against the
+    of key, value; lists joined by commas), and, if the scope is to be tested, scope: keys of another are a mismatch. A record counts as a whole or not at all: first the live rules, against the
     state before it, then the rules of the whole state. That is a fold in sequence, over the few settings records of each
     chain; chains are folded in parallel.
     """
     ship(records.sparkSession)
-    as_value = lambda k, v: [x for x in v.split(",")] if k == "leadership.authorities" and v else [] if k == "leadership.authorities" else v
 
     def fold(group: pa.Table) -> pa.Table:
         state, out = {k: as_value(k, v) for k, v in DEFAULTS.items()}, []
@@ -154,6 +160,8 @@ def replay(records: DataFrame) -> DataFrame:
             refusal = None
             if any(k not in DEFAULTS for k, _ in changes):
                 refusal = "unknown_setting"
+            elif r.get("scope") and any(SETTINGS[KEY_INDEX[k]][1] != r["scope"] for k, _ in changes):
+                refusal = "scope_mismatch"
             elif not r["is_genesis"] and state["leadership.reconfigurable"] != "true" and any(k.startswith("leadership.") for k, _ in changes):
                 refusal = "not_live_changeable"
             else:

@@ -38,6 +38,14 @@ def compact(slots: DataFrame, removed: DataFrame, retain: str = "header") -> Dat
     return out
 
 
+def compact_in_force(slots: DataFrame, removed: DataFrame, current: DataFrame) -> DataFrame:
+    """compact() with what each journal's ttl.retain in force (settings.current()) keeps of a removed entry."""
+    retain = current.where("key = 'ttl.retain'").select("journal", F.col("value").alias("_retain"))
+    rows = slots.join(retain, "journal", "left")
+    parts = [compact(rows.where(F.col("_retain").eqNullSafe("none") if r == "none" else ~F.col("_retain").eqNullSafe("none")).drop("_retain"), removed, r) for r in ("header", "none")]
+    return parts[0].unionByName(parts[1])
+
+
 def queue_gate(queue: DataFrame, limit: int = QUEUE_BYTES) -> DataFrame:
     """journal, arrival, accepted, queued_bytes: whether each entry fits into its journal's queue when it arrives.
 

@@ -81,3 +81,20 @@ state AS (SELECT i.*, by_mark, CASE WHEN by_mark IS NOT NULL THEN 'removed'
 
 CURRENT = f"({_in_force('CURRENT ROW')})"
 ALL_FACTS = (SLOTS, WIDE, FORCE, STAMPED, MARKS, INFO, REMOVED)
+
+# --- a term in which entries are slotted again --------------------------------------------------------------------
+
+AGAIN = f"""
+late0 AS (SELECT * REPLACE (CASE WHEN event_id % 40 = 1 THEN 'checkpoint' ELSE kind END AS kind, CASE WHEN event_id % 40 = 1 THEN author_seq + 1000000 ELSE author_seq END AS author_seq,
+  5 AS epoch, row_number() OVER (PARTITION BY journal ORDER BY event_id) AS seq) FROM wide WHERE (event_id % 20 = 3 AND kind = 'data') OR event_id % 40 = 1),
+now AS (SELECT journal, {', '.join(f"max_by({n}, epoch * 1000000000 + seq) AS {n}" for n in ('ttl_enforce', 'ttl_default_ms', 'ttl_max_ms', 'ttl_action', 'stale_cleanup', 'stale_enforce', 'ttl_grace_ms'))} FROM ({_in_force('CURRENT ROW')}) GROUP BY journal),
+late AS (SELECT l.* REPLACE (1706659200000 + seq * 3600000 AS slot_ts_ms), now.* EXCLUDE (journal) FROM late0 l JOIN now USING (journal)),
+late1 AS (SELECT *, CASE WHEN kind <> 'data' OR ttl_enforce = 'off' THEN NULL WHEN ttl_ms > 0 THEN ttl_ms WHEN ttl_enforce = 'all' THEN ttl_default_ms END AS asked FROM late),
+occ0 AS (SELECT journal, author, author_seq, epoch, seq, slot_ts_ms, kind, expires_at_ms, ttl_action, stale_cleanup, payload_len FROM st UNION ALL
+  SELECT journal, author, author_seq, epoch, seq, slot_ts_ms, kind, slot_ts_ms + CASE WHEN asked IS NULL THEN NULL WHEN ttl_max_ms = 0 THEN asked ELSE least(asked, ttl_max_ms) END, CASE WHEN kind = 'data' THEN ttl_action ELSE 'mark_stale' END, stale_cleanup, payload_len FROM late1),
+occ AS MATERIALIZED (SELECT occ0.*, mark AS marked_at, lead(epoch * 1000000000 + seq) OVER (PARTITION BY journal, author, author_seq ORDER BY epoch, seq) AS until FROM occ0 LEFT JOIN marks USING (journal, author, author_seq))"""
+AGAIN_REMOVED = """
+gone AS (SELECT o.journal, o.author, o.author_seq, min(c.epoch * 1000000000 + c.seq) AS by_mark FROM occ o JOIN chk c ON c.journal = o.journal
+    AND o.epoch * 1000000000 + o.seq < c.epoch * 1000000000 + c.seq AND o.epoch * 1000000000 + o.seq <= c.through AND (until IS NULL OR c.epoch * 1000000000 + c.seq < until)
+  WHERE (o.ttl_action = 'delete' AND o.expires_at_ms <= c.slot_ts_ms) OR (c.stale_cleanup = 'delete' AND ((marked_at < c.epoch * 1000000000 + c.seq AND marked_at <= c.through) OR (o.ttl_action = 'mark_stale' AND o.expires_at_ms <= c.slot_ts_ms))) GROUP BY ALL)"""
+AGAIN_FACTS = (SLOTS, WIDE, FORCE, STAMPED, MARKS, AGAIN)

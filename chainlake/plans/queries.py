@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ed25519, scalar
-from ..operators import chain, election, expiry, membership, merge, reads, settings, storage
-from ..schema import FRAMES, ID, SLOT_ROW
+from ..operators import chain, control, election, expiry, membership, merge, reads, settings, storage, writing
+from ..schema import FRAMES, ID, PAGE_BYTES, SLOT_ROW
 from ..shipping import ship
 from ..sources import segment
 from ..streaming import live
@@ -118,10 +116,10 @@ def settings_current(spark, sf_dir):
     return settings.current(fx.changes(s), s.select("journal").distinct())
 
 
-@query(o.query(o.SLOTS, o.WIDE, select=f"SELECT journal, epoch, seq, ttl_enforce, CAST(ttl_default_ms AS BIGINT) AS ttl_default_ms, CAST(ttl_max_ms AS BIGINT) AS ttl_max_ms, ttl_action, stale_enforce, stale_cleanup FROM {o.CURRENT} WHERE seq % 25 = 0"))
+@query(o.query(o.SLOTS, o.WIDE, select=f"SELECT journal, epoch, seq, ttl_enforce, CAST(ttl_default_ms AS BIGINT) AS ttl_default_ms, CAST(ttl_max_ms AS BIGINT) AS ttl_max_ms, ttl_action, stale_enforce, stale_cleanup FROM {o.CURRENT}"))
 def settings_as_of(spark, sf_dir):
     s = fx.slots(spark, sf_dir)
-    at = settings.at_positions(s.where("seq % 25 = 0"), fx.changes(s), fx.KEYS)
+    at = settings.at_positions(s, fx.changes(s), fx.KEYS)
     return at.select("journal", "epoch", "seq", "ttl_enforce", F.col("ttl_default_ms").cast("bigint"), F.col("ttl_max_ms").cast("bigint"), "ttl_action", "stale_enforce", "stale_cleanup")
 
 
@@ -138,9 +136,12 @@ def settings_markdown(spark, sf_dir):
     return settings.schema_markdown(spark)
 
 
-@query(o.query(o.SLOTS, o.WIDE, _CHANGES, select="SELECT journal, epoch, seq, bool_or(key LIKE 'leadership.%') AS touches FROM changes GROUP BY ALL"))
+@query(o.query(o.SLOTS, o.WIDE, _CHANGES, select="SELECT c.journal, c.epoch, c.seq, bool_or(key LIKE 'leadership.%') OR any_value(author % 3 = 0) AS touches FROM changes c JOIN slots s ON s.journal = c.journal AND s.epoch = c.epoch AND s.seq = c.seq GROUP BY ALL"))
 def settings_touch_leadership(spark, sf_dir):
-    return settings.touches_leadership(fx.changes(fx.slots(spark, sf_dir)))
+    """Every third author's records change the tiebreak too."""
+    s = fx.slots(spark, sf_dir)
+    more = s.where("kind = 'settings' and author % 3 = 0").select("journal", "epoch", "seq", F.lit("leadership.tiebreak").alias("key"), F.lit("freshest").alias("value"))
+    return settings.touches_leadership(fx.changes(s).union(more))
 
 
 @query(o.query(o.SLOTS, o.WIDE, _CHANGES, select="SELECT journal, sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM (SELECT journal, key || '=' || max_by(value, epoch * 1000000000 + seq) AS line FROM changes GROUP BY journal, key) GROUP BY journal"))
@@ -181,12 +182,18 @@ def settings_live_gate(spark, sf_dir):
     return c.select("id", "key", settings.live_changeable(F.col("key"), F.lit(""), F.col("reconf")).alias("allowed"))
 
 
-@query()
+_OWN = {"ttl.enforce": ("c_enforce", "'off'"), "ttl.default_ms": ("CASE WHEN author % 2 = 0 THEN 0 ELSE c_default END", "0"), "ttl.max_ms": ("c_max", "0"), "ttl.action": ("c_action", "'mark_stale'"), "ttl.grace_ms": ("c_grace", "0"), "stale.enforce": ("c_stale", "'off'"), "stale.cleanup": ("c_cleanup", "'keep'")}
+_STATE = " || chr(10) || ".join(f"'{k}=' || " + (f"CAST(coalesce(last_value(CASE WHEN NOT bad THEN {_OWN[k][0]} END IGNORE NULLS) OVER w, {_OWN[k][1]}) AS VARCHAR)" if k in _OWN else f"'{v}'") for k, v in sorted(settings.DEFAULTS.items()))
+
+
+@query(o.query(o.SLOTS, o.WIDE, "rec AS (SELECT *, c_enforce = 'all' AND author % 2 = 0 AS bad FROM wide WHERE s)", select=f"SELECT journal, epoch, seq, CASE WHEN bad THEN 'invalid_settings' END AS refusal, sha256({_STATE}) AS hash FROM rec WINDOW w AS (PARTITION BY journal ORDER BY epoch, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def settings_replay(spark, sf_dir):
     """Every settings record applied or refused in sequence; records that ask for all without a default are refused."""
     s = fx.slots(spark, sf_dir)
-    grouped = fx.changes(s).groupBy("journal", "epoch", "seq").agg(F.collect_list(F.struct("key", "value")).alias("changes"))
-    return settings.replay(grouped.select("*", F.lit(False).alias("is_genesis"), F.lit(3).alias("n_members"), F.array(F.lit("host-1")).alias("names")))
+    own = fx.changes(s).join(s.select("journal", "epoch", "seq", "author"), ["journal", "epoch", "seq"])
+    own = own.withColumn("value", F.when((F.col("key") == "ttl.default_ms") & (F.col("author") % 2 == 0), "0").otherwise(F.col("value")))
+    grouped = own.groupBy("journal", "epoch", "seq").agg(F.collect_list(F.struct("key", "value")).alias("changes"))
+    return settings.replay(grouped.select("*", F.lit(False).alias("is_genesis"), F.lit(3).alias("n_members"), F.array(F.lit("host-1")).alias("names"), F.lit("journal").alias("scope")))
 
 
 # --- expiry -------------------------------------------------------------------------------------------------------
@@ -214,6 +221,7 @@ def removal_set(spark, sf_dir):
 
 
 def _states(spark, sf_dir, now):
+    """The stamped slots, and the state of every entry at a time."""
     stamped, info, gone = fx.facts(spark, sf_dir)
     s = settings.current(fx.changes(stamped), stamped.select("journal").distinct()).where("key = 'ttl.grace_ms'").select("journal", F.col("value").cast("bigint").alias("grace"))
     rows = info.join(gone, ID, "left").join(s, "journal").withColumn("removed", F.col("removed_epoch").isNotNull())
@@ -251,10 +259,80 @@ def may_remove(spark, sf_dir):
     return expiry.may_remove(fx.facts(spark, sf_dir)[1])
 
 
-@query(o.query(*o.ALL_FACTS, select="SELECT journal, max(slot_ts_ms) AS last_ms, min(slot_ts_ms) AS first_ms, (1704300000000 - min(slot_ts_ms) >= 60000) OR count(*) * 1000 >= 2000 AS due FROM st WHERE kind = 'checkpoint' GROUP BY journal"))
+_PENDING = f"pend AS (SELECT journal, CAST(sum(payload_len) AS BIGINT) AS pending FROM info LEFT JOIN removed USING (journal, author, author_seq) WHERE by_mark IS NULL AND ((ttl_action = 'delete' AND expires_at_ms <= {fx.END}) OR stale_marked OR (ttl_action = 'mark_stale' AND expires_at_ms <= {fx.END})) GROUP BY journal)"
+
+
+@query(o.query(*o.ALL_FACTS, _PENDING, select="SELECT journal, max(slot_ts_ms) AS last_ms, coalesce(max(pending), 0) AS pending, (1706600000000 - max(slot_ts_ms) >= 86400000) OR coalesce(max(pending), 0) >= 700 AS due FROM st LEFT JOIN pend USING (journal) WHERE kind = 'checkpoint' GROUP BY journal"))
 def checkpoint_cadence(spark, sf_dir):
-    c = fx.slots(spark, sf_dir).where("kind = 'checkpoint'").groupBy("journal").agg(F.max("slot_ts_ms").alias("last_ms"), F.min("slot_ts_ms").alias("first_ms"), (F.count("*") * 1000).alias("b"))
-    return c.select("journal", "last_ms", "first_ms", expiry.checkpoint_due(F.lit(1704300000000), F.col("first_ms"), F.lit(60000), F.col("b"), F.lit(2000)).alias("due"))
+    """Whether each journal's next checkpoint is due: a day after the last, or when 700 bytes could be removed."""
+    stamped, info, gone = fx.facts(spark, sf_dir)
+    c = stamped.where("kind = 'checkpoint'").groupBy("journal").agg(F.max("slot_ts_ms").alias("last_ms"))
+    rows = info.join(gone, ID, "left").withColumn("removed", F.col("removed_epoch").isNotNull())
+    waiting = expiry.pending_bytes(expiry.removal_set(rows, (1000, 0), fx.END, "delete"))
+    c = c.join(waiting, "journal", "left").withColumn("pending", F.coalesce("pending_bytes", F.lit(0)))
+    return c.select("journal", "last_ms", "pending", expiry.checkpoint_due(F.lit(1706600000000), F.col("last_ms"), F.lit(86400000), F.col("pending"), F.lit(700)).alias("due"))
+
+
+_CHK = """
+chk0 AS (SELECT journal, epoch, seq, slot_ts_ms, stale_cleanup, author % 3 AS a, greatest(seq - author_seq % 50, 0) + CASE WHEN author_seq % 11 = 5 THEN seq + 1 ELSE 0 END AS through_seq FROM occ0 WHERE kind = 'checkpoint'),
+chk1 AS (SELECT *, epoch * 1000000000 + through_seq AS through, CASE WHEN a <> epoch % 3 AND epoch < 5 THEN 'no_op' WHEN through_seq > seq THEN 'bad_checkpoint' WHEN slot_ts_ms < 1705500000000 THEN 'no_op' WHEN slot_ts_ms < 1705500000000 + 120000000 THEN 'merge_settling' ELSE 'apply' END AS verdict FROM chk0),
+chk AS (SELECT * FROM chk1 WHERE verdict = 'apply')"""
+
+
+def _again(spark, sf_dir):
+    """Slots of which some come again, their occurrences, and the checkpoints with their verdicts."""
+    s = fx.slotted_again(spark, sf_dir)
+    through = F.greatest(F.col("seq") - F.col("author_seq") % 50, F.lit(0)) + F.when(F.col("author_seq") % 11 == 5, F.col("seq") + 1).otherwise(0)
+    led = F.when(F.col("epoch") == 5, 0).otherwise(F.col("author") % 3)
+    c = s.where("kind = 'checkpoint'").select("journal", "epoch", "seq", "slot_ts_ms", "stale_cleanup", led.alias("author"), F.col("epoch").alias("through_epoch"), through.alias("through_seq"))
+    terms = s.select("epoch").distinct().withColumn("leader", F.when(F.col("epoch") == 5, 0).otherwise(F.col("epoch") % 3))
+    merges = spark.range(1).select(F.lit(1705500000000).alias("merge_ts_ms"))
+    return s, expiry.occurrences(s, expiry.stale_marks(s)), expiry.checkpoint_verdicts(c, terms, merges, 120000000)
+
+
+@query(o.query(*o.AGAIN_FACTS, _CHK, select="SELECT journal, epoch, seq, verdict FROM chk1"))
+def checkpoint_verdicts(spark, sf_dir):
+    """Which checkpoints apply: by their author's term, how far they reach, and the last merge."""
+    return _again(spark, sf_dir)[2].select("journal", "epoch", "seq", "verdict")
+
+
+@query(o.query(*o.AGAIN_FACTS, _CHK, o.AGAIN_REMOVED, select="SELECT journal, author, author_seq, by_mark // 1000000000 AS removed_epoch, by_mark % 1000000000 AS removed_seq FROM gone"))
+def redelivered_removals(spark, sf_dir):
+    """What checkpoints that count remove, where entries are slotted again with a new stamp."""
+    _, occurrences, checkpoints = _again(spark, sf_dir)
+    return expiry.removals(occurrences, checkpoints.where("verdict = 'apply'"))
+
+
+@query(o.query(*o.AGAIN_FACTS, _CHK, o.AGAIN_REMOVED, select=f"SELECT journal, author, author_seq, epoch, seq, CASE WHEN by_mark IS NOT NULL THEN 'removed' WHEN marked_at IS NOT NULL OR (ttl_action = 'mark_stale' AND coalesce(expires_at_ms <= {fx.END + 30 * fx.HOUR}, false)) THEN 'stale' WHEN ttl_action = 'delete' AND coalesce(expires_at_ms <= {fx.END + 30 * fx.HOUR}, false) THEN 'expired' ELSE 'live' END AS state FROM occ LEFT JOIN gone USING (journal, author, author_seq) WHERE until IS NULL"))
+def redelivered_states(spark, sf_dir):
+    """The state of every entry by its last slot; what was removed stays removed."""
+    s, occurrences, checkpoints = _again(spark, sf_dir)
+    gone = expiry.removals(occurrences, checkpoints.where("verdict = 'apply'"))
+    rows = expiry.entry_info(s, expiry.stale_marks(s)).join(gone, ID, "left")
+    state = expiry.state(F.col("removed_epoch").isNotNull(), F.col("expires_at_ms"), F.col("ttl_action"), F.col("stale_marked"), F.lit(fx.END + 30 * fx.HOUR), F.lit(0))
+    return rows.select(*ID, "epoch", "seq", state.alias("state"))
+
+
+@query(o.query(*o.ALL_FACTS, o.with_state(fx.MID), select="SELECT s.journal, s.epoch, s.seq, s.kind, s.author, s.author_seq FROM slots s JOIN state USING (journal, author, author_seq) WHERE s.author_seq % 5 = 1 AND state IN ('live', 'expired')"))
+def visible_by_id(spark, sf_dir):
+    """Entries by id as a reader is given them: none that is removed or stale, but what has only expired."""
+    stamped, states = _states(spark, sf_dir, fx.MID)
+    asked = stamped.where("author_seq % 5 = 1").select(*ID)
+    rows = stamped.select("journal", "epoch", "seq", "kind", "author", "author_seq")
+    return reads.read_by_ids(rows, asked, states.where(expiry.visible(F.col("state"), include_expired=True)))
+
+
+@query(o.query(o.SLOTS, select=f"SELECT {PICKED} FROM slots WHERE journal = 'j2' AND epoch = 2 AND seq = 7"))
+def read_point(spark, sf_dir):
+    return reads.point(fx.slots(spark, sf_dir), "j2", (2, 7)).select(*PICK)
+
+
+@query(o.query(o.SLOTS, select="SELECT journal, author, author_seq, event_id AS arrival FROM slots q WHERE event_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM slots s WHERE s.event_id % 8 = 0 AND s.journal = q.journal AND s.author = q.author AND s.author_seq = q.author_seq)"))
+def queue_removal(spark, sf_dir):
+    """The queue without what has been slotted."""
+    s = fx.slots(spark, sf_dir)
+    queue = s.where("event_id % 4 = 0").select(*ID, F.col("event_id").alias("arrival"))
+    return storage.remove_queued(queue, s.where("event_id % 8 = 0"))
 
 
 # --- storage ------------------------------------------------------------------------------------------------------
@@ -274,6 +352,16 @@ def compact_none(spark, sf_dir):
     return storage.compact(s, gone, "none").drop("payload_omitted")
 
 
+@query(o.query(*o.ALL_FACTS, select="SELECT journal, epoch, seq, CASE WHEN by_mark IS NULL OR journal < 'j4' THEN author_seq END AS author_seq, CASE WHEN by_mark IS NULL THEN payload END AS payload, by_mark IS NOT NULL AND journal < 'j4' AS payload_omitted, CASE WHEN by_mark IS NULL THEN 340 + payload_len WHEN journal < 'j4' THEN 340 ELSE 176 END AS record_bytes FROM slots LEFT JOIN removed USING (journal, author, author_seq)"))
+def compact_retained(spark, sf_dir):
+    """Each journal compacted as its settings say: the upper four keep nothing of an entry."""
+    stamped, _, gone = fx.facts(spark, sf_dir)
+    changed = fx.changes(stamped).union(stamped.where("seq = 1 and epoch = 1 and journal >= 'j4'").select("journal", "epoch", "seq", F.lit("ttl.retain").alias("key"), F.lit("none").alias("value")))
+    current = settings.current(changed, stamped.select("journal").distinct())
+    s = stamped.select("journal", "epoch", "seq", "author", "author_seq", "payload", "payload_len")
+    return storage.compact_in_force(s, gone, current).select("journal", "epoch", "seq", "author_seq", "payload", "payload_omitted", "record_bytes")
+
+
 @query(o.query(o.SLOTS, select=f"SELECT {PICKED} FROM slots WHERE journal <> 'j2' OR (epoch, seq) <= (2, 15)"))
 def truncate_prefix(spark, sf_dir):
     return storage.truncate(fx.slots(spark, sf_dir), "j2", (2, 15)).select(*PICK)
@@ -298,13 +386,33 @@ def queue_replay(spark, sf_dir):
     return storage.unslotted(s.where("event_id % 4 = 0").select(*ID, F.col("event_id").alias("arrival")), s.where("epoch <= 2").select(*ID, "kind"))
 
 
-@query()
+@query(
+    o.query(
+        o.SLOTS,
+        "g AS (SELECT journal, epoch, seq, payload_len + 340 AS used, CAST(0 AS BIGINT) AS page FROM slots WHERE seq = 1 UNION ALL SELECT s.journal, s.epoch, s.seq, CASE WHEN g.used + s.payload_len + 340 <= 4096 THEN g.used + s.payload_len + 340 ELSE s.payload_len + 340 END, CASE WHEN g.used + s.payload_len + 340 <= 4096 THEN g.page ELSE g.page + 1 END FROM g JOIN slots s ON s.journal = g.journal AND s.epoch = g.epoch AND s.seq = g.seq + 1)",
+        select="SELECT journal, epoch, seq, page FROM g",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def page_bytes(spark, sf_dir):
-    """Pages of at most 4 KiB; a greedy cut, which SQL can't express without recursion."""
+    """Pages of at most 4 KiB: a greedy cut."""
     s = fx.slots(spark, sf_dir).withColumn("record_bytes", F.col("payload_len") + 340)
     return storage.pages(s, 4096)
 
 
+@query(
+    o.query(
+        o.SLOTS,
+        "b AS (SELECT * FROM slots WHERE (epoch, seq) > (2, 10))",
+        "g AS (SELECT journal, epoch, seq, payload_len + 340 AS used, CAST(0 AS BIGINT) AS page FROM b WHERE seq = CASE WHEN epoch = 2 THEN 11 ELSE 1 END UNION ALL SELECT s.journal, s.epoch, s.seq, CASE WHEN g.used + s.payload_len + 340 <= 65536 THEN g.used + s.payload_len + 340 ELSE s.payload_len + 340 END, CASE WHEN g.used + s.payload_len + 340 <= 65536 THEN g.page ELSE g.page + 1 END FROM g JOIN b s ON s.journal = g.journal AND s.epoch = g.epoch AND s.seq = g.seq + 1)",
+        select="SELECT journal, epoch, page, count(*) AS n, min(seq) AS first_seq FROM g GROUP BY ALL",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def backfill_pages(spark, sf_dir):
+    """What a member that has all up to 2:10 is sent, in pages of 64 KiB."""
+    behind = reads.scan(fx.slots(spark, sf_dir), first=(2, 11)).withColumn("record_bytes", F.col("payload_len") + 340)
+    return storage.pages(behind, PAGE_BYTES).groupBy("journal", "epoch", "page").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
 # --- chain --------------------------------------------------------------------------------------------------------
 
 
@@ -325,15 +433,33 @@ def chain_verify(spark, sf_dir):
     return chain.continuity(_broken(spark, sf_dir)).where("refusal is not null").select("journal", "epoch", "seq", "refusal")
 
 
-@query(o.query(o.SLOTS, _BROKEN, select="""
-SELECT journal, epoch, seq, kind, CASE WHEN refusal IS NOT NULL THEN refusal WHEN leader % 13 = 0 THEN 'not_leader' WHEN author % 13 = 0 THEN 'unknown_author'
-  WHEN author_seq <= last_seq THEN 'duplicate_conflict' WHEN payload_len > 8 AND k > 95 THEN 'too_large' WHEN kind = 'data' AND k = 50 THEN 'journal_frozen' WHEN kind = 'stale' AND k < 10 THEN 'staleness_disabled' END AS refusal
-FROM (SELECT *, max(author_seq) OVER (PARTITION BY journal, author ORDER BY epoch, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_seq FROM chk)"""))
+_JUDGED = """
+v AS (SELECT *, CASE WHEN author % 5 = 2 THEN author_seq - author_seq % 3 ELSE author_seq END AS aseq, CASE WHEN author % 5 = 2 THEN 'h' || CAST(k % 2 AS VARCHAR) ELSE entry_hash END AS eh,
+  CASE WHEN event_id % 59 = 0 THEN 'join' ELSE kind END AS knd FROM chk),
+r AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN refusal WHEN leader % 13 = 0 THEN 'not_leader' WHEN event_id % 67 = 0 THEN 'bad_signature' WHEN event_id % 61 = 0 THEN 'wrong_journal' WHEN author % 13 = 0 THEN 'unknown_author'
+  WHEN event_id % 71 = 0 THEN 'bad_signature' WHEN event_id % 73 = 0 THEN 'bad_payload_hash' END AS b,
+  CASE WHEN payload_len > 8 AND k > 95 THEN 'too_large' WHEN knd = 'data' AND k = 50 THEN 'journal_frozen' WHEN knd = 'stale' AND k < 10 THEN 'staleness_disabled' WHEN knd = 'stale' AND event_id % 4 = 0 THEN 'not_author' WHEN knd = 'join' THEN 'wrong_journal_type' END AS a FROM v),
+w AS (SELECT *, coalesce(aseq > max(CASE WHEN b IS NULL AND a IS NULL THEN aseq END) OVER (PARTITION BY journal, author ORDER BY epoch, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS above FROM r),
+x AS (SELECT *, first_value(CASE WHEN b IS NULL AND a IS NULL THEN {'h': eh, 'above': above} END IGNORE NULLS) OVER (PARTITION BY journal, author, aseq ORDER BY epoch, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS acc FROM w)"""
+
+
+@query(o.query(o.SLOTS, _BROKEN, select="SELECT journal, p_epoch AS after_epoch, p_seq AS after_seq, epoch, seq FROM cont WHERE CASE WHEN epoch = p_epoch THEN seq > p_seq + 1 ELSE seq > 1 END"))
+def missing_slots(spark, sf_dir):
+    return chain.gaps(_broken(spark, sf_dir))
+
+
+@query(o.query(o.SLOTS, _BROKEN, _JUDGED, select="SELECT journal, epoch, seq, knd AS kind, CASE WHEN b IS NOT NULL THEN b WHEN NOT above AND NOT coalesce(acc.above AND acc.h = eh, false) THEN 'duplicate_conflict' ELSE a END AS refusal FROM x"))
 def data_validation(spark, sf_dir):
+    """Every rule for a data journal's records; one author in five uses each number for three entries of two contents."""
     s = _broken(spark, sf_dir)
     members = s.select(F.col("author").alias("member")).union(s.select("leader")).where("member % 13 <> 0")
+    of = lambda n: F.col("event_id") % n != 0
+    twice = F.col("author") % 5 == 2
+    s = s.withColumn("entry_hash", F.when(twice, F.concat(F.lit("h"), (F.col("k") % 2).cast("string"))).otherwise(F.col("entry_hash")))
+    s = s.withColumn("author_seq", F.when(twice, F.col("author_seq") - F.col("author_seq") % 3).otherwise(F.col("author_seq")))
     s = s.withColumn("allow_append", F.when(F.col("k") == 50, "false").otherwise("true")).withColumn("stale_enforce", F.when(F.col("k") < 10, "off").otherwise("author"))
-    s = s.withColumn("signature_ok", F.lit(None).cast("boolean")).withColumn("payload_ok", F.lit(None).cast("boolean"))
+    s = s.withColumn("target_author", F.when(of(4), F.col("author")).otherwise(F.col("author") + 1)).withColumn("kind", F.when(of(59), F.col("kind")).otherwise("join"))
+    s = s.withColumns({"signature_ok": of(71), "payload_ok": of(73), "slot_signature_ok": of(67), "entry_journal": F.when(of(61), F.col("journal")).otherwise("other")})
     most = F.when(F.col("k") > 95, F.lit(8)).otherwise(16777216)
     return chain.first_refusal(s, members, max_entry_bytes=most).select("journal", "epoch", "seq", "kind", "refusal")
 
@@ -354,12 +480,15 @@ def dedup_conflicts(spark, sf_dir):
 
 
 @query("""
-WITH j AS (SELECT c_custkey % 60 AS id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END AS name, c_custkey AS seq FROM customer), old AS (SELECT s_suppkey AS id FROM supplier)
-SELECT j.seq, j.id, CASE WHEN j.id IN (SELECT id FROM old) OR row_number() OVER (PARTITION BY j.id ORDER BY seq) > 1 THEN 'journal_exists' WHEN length(name) NOT BETWEEN 1 AND 256 THEN 'bad_journal_name' WHEN (SELECT count(*) FROM old) >= 1024 THEN 'too_many_journals' END AS refusal FROM j""")
+WITH j AS (SELECT c_custkey % 60 AS id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END AS name, c_custkey AS seq FROM customer), old AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey <= 5),
+g AS (SELECT id, min(seq) AS first_seq FROM j WHERE length(name) BETWEEN 1 AND 256 AND id NOT IN (SELECT id FROM old) GROUP BY id),
+p AS (SELECT *, row_number() OVER (ORDER BY first_seq) + (SELECT count(*) FROM old) <= 20 AS fits FROM g)
+SELECT j.seq, j.id, CASE WHEN j.id IN (SELECT id FROM old) OR (fits AND j.seq > first_seq) THEN 'journal_exists' WHEN length(name) NOT BETWEEN 1 AND 256 THEN 'bad_journal_name' WHEN NOT coalesce(fits, false) THEN 'too_many_journals' END AS refusal FROM j LEFT JOIN p USING (id)""")
 def create_journal_rules(spark, sf_dir):
+    """Creations under a cap of 20 journals, five of which there are."""
     key = F.col("c_custkey")
     rows = fx.load(spark, sf_dir, "customer").select((key % 60).alias("id"), F.when(key % 9 == 0, "").otherwise(F.col("c_name")).alias("name"), F.lit(1).alias("epoch"), key.alias("seq"))
-    return chain.create_journal_refusal(rows, fx.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))).select("seq", "id", "refusal")
+    return chain.create_journal_refusal(rows, fx.load(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("id")), 20).select("seq", "id", "refusal")
 
 
 @query(o.query(o.SLOTS, "h AS (SELECT journal, max(slot_ts_ms) AS t, max(seq) FILTER (WHERE epoch = 3) AS s FROM slots GROUP BY journal)", select="SELECT q.journal, q.event_id AS arrival, 3 AS epoch, coalesce(h.s, 0) + row_number() OVER (PARTITION BY q.journal ORDER BY q.event_id) AS seq, greatest(1706000000000, h.t) AS slot_ts_ms FROM slots q JOIN h USING (journal) WHERE q.event_id % 4 = 0"))
@@ -380,6 +509,26 @@ def fold_summary(spark, sf_dir):
     return chain.fold_summary(fx.slots(spark, sf_dir))
 
 
+_LAST_KEYS = "last AS (SELECT journal, key, max_by(value, epoch * 1000000000 + seq) AS v FROM changes GROUP BY ALL)"
+
+
+@query(o.query(
+    o.SLOTS, o.WIDE, _CHANGES, f"keys(key, dflt) AS (VALUES {_JOURNAL_KEYS})", _LAST_KEYS,
+    "cur AS (SELECT j.journal, k.key || '=' || coalesce(v, dflt) AS line FROM (SELECT DISTINCT journal FROM slots) j CROSS JOIN keys k LEFT JOIN last l ON l.journal = j.journal AND l.key = k.key)",
+    "sh AS (SELECT journal, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM cur GROUP BY journal)",
+    "mh AS (SELECT journal, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM (SELECT journal, lpad(CAST(min(epoch) AS VARCHAR), 20, '0') || ':' || lpad(CAST(min(seq) AS VARCHAR), 20, '0') || ':' || author AS line FROM slots WHERE epoch = 1 GROUP BY journal, author) GROUP BY journal)",
+    "x AS (SELECT *, sha256(concat_ws('|', journal, epoch, seq, entry_hash, prev_slot_hash)) AS h FROM slots)",
+    f"fs AS (SELECT journal, max(epoch) AS he, max_by(seq, epoch * 1000000000 + seq) AS hs, concat_ws('-', {', '.join(_PART.format(8 * k + 1) for k in range(3))}) AS d FROM x GROUP BY journal)",
+    select="SELECT fs.journal, sha256(concat_ws('|', he, hs, d, coalesce(sh.h, '-'), coalesce(mh.h, '-'))) AS digest FROM fs LEFT JOIN sh USING (journal) LEFT JOIN mh USING (journal)",
+))
+def state_digest(spark, sf_dir):
+    """Slots, settings and members in one digest; a journal's members are those who wrote in its first term."""
+    s = fx.slots(spark, sf_dir)
+    current = settings.current(fx.changes(s), s.select("journal").distinct())
+    members = s.where("epoch = 1").groupBy("journal", F.col("author").alias("member")).agg(F.min("epoch").alias("joined_epoch"), F.min("seq").alias("joined_seq"))
+    return chain.state_digest(chain.fold_summary(s), settings.state_hash(current, ["journal"]), members)
+
+
 @query(o.query(o.SLOTS, o.EVENTS, select="SELECT 'epoch' AS item, CAST(max(epoch) AS VARCHAR) AS value FROM slots UNION ALL SELECT 'members', CAST(count(*) AS VARCHAR) FROM mem UNION ALL SELECT 'journals', CAST(count(DISTINCT journal) AS VARCHAR) FROM slots UNION ALL SELECT 'head ' || journal, max(epoch) || ':' || max_by(seq, epoch * 1000000000 + seq) FROM slots GROUP BY journal"))
 def doctor(spark, sf_dir):
     s = fx.slots(spark, sf_dir)
@@ -510,6 +659,162 @@ def genesis_rules(spark, sf_dir):
     return chain.genesis_refusal(g).select("id", "refusal")
 
 
+# --- writing ------------------------------------------------------------------------------------------------------
+
+
+@query(o.query(
+    o.SLOTS,
+    "q AS (SELECT journal, event_id AS arrival, CASE WHEN journal = 'j7' THEN 'unknown_journal' WHEN journal = 'j3' THEN 'journal_frozen' WHEN payload_len > CASE WHEN journal = 'j5' THEN 8 ELSE 16777216 END THEN 'too_large' END AS refusal FROM slots WHERE event_id % 4 = 0)",
+    "h AS (SELECT journal, max(slot_ts_ms) AS t, coalesce(max(seq) FILTER (WHERE epoch = 3), 0) AS s FROM slots GROUP BY journal)",
+    select="SELECT journal, arrival, refusal, CASE WHEN refusal IS NULL THEN CAST(3 AS BIGINT) END AS epoch, CASE WHEN refusal IS NULL THEN s + row_number() OVER (PARTITION BY journal, refusal IS NULL ORDER BY arrival) END AS seq, CASE WHEN refusal IS NULL THEN greatest(1706000000000, t) END AS slot_ts_ms FROM q JOIN h USING (journal)",
+))
+def append_gate(spark, sf_dir):
+    """Queued entries with their slots, or why they are refused: an unknown journal, a frozen one, one with a small limit."""
+    s = fx.slots(spark, sf_dir)
+    queue = s.where("event_id % 4 = 0").select("journal", F.col("event_id").alias("arrival"), "payload_len")
+    known = s.where("journal <> 'j7'").select("journal").distinct()
+    known = known.select("journal", F.when(F.col("journal") == "j3", "false").otherwise("true").alias("allow_append"), F.when(F.col("journal") == "j5", 8).otherwise(16777216).alias("max_entry_bytes"))
+    return writing.append(queue, known, reads.heads(s, "slot_ts_ms"), 1706000000000, 3).select("journal", "arrival", "refusal", "epoch", "seq", "slot_ts_ms")
+
+
+def _le_hex(value: str) -> str:
+    x = f"lpad(to_hex({value}), 16, '0')"
+    return "lower(" + " || ".join(f"substr({x}, {k}, 2)" for k in range(15, 0, -2)) + ")"
+
+
+_LAST = "l AS (SELECT journal, author, max(author_seq) AS last_seq FROM slots GROUP BY ALL)"
+
+
+@query(o.query(o.SLOTS, _LAST, select=f"SELECT journal, author, last_seq + row_number() OVER (PARTITION BY journal, author ORDER BY author_seq) AS author_seq, 'stale' AS kind, lpad(lower(to_hex(author)), 32, '0') || {_le_hex('author_seq')} AS payload, CAST(24 AS BIGINT) AS payload_len FROM slots JOIN l USING (journal, author) WHERE kind = 'data' AND event_id % 25 = 0"))
+def stale_records(spark, sf_dir):
+    """The entries by which authors mark every 25th data entry of theirs."""
+    s = fx.slots(spark, sf_dir)
+    author = F.unhex(F.lpad(F.hex("author"), 32, "0"))
+    marks = writing.stale_records(s.where("kind = 'data' and event_id % 25 = 0"), chain.last_seqs(s), author)
+    return marks.select("journal", "author", "author_seq", "kind", scalar.hex_id(F.col("payload")).alias("payload"), "payload_len")
+
+
+@query(o.query(*o.ALL_FACTS, _PENDING, _LAST, "h AS (SELECT journal, max(epoch) AS e, max_by(seq, epoch * 1000000000 + seq) AS s FROM slots GROUP BY journal)", select=f"SELECT journal, 7 AS author, coalesce(last_seq, 0) + 1 AS author_seq, 'checkpoint' AS kind, {_le_hex('e')} || {_le_hex('s')} AS payload, CAST(16 AS BIGINT) AS payload_len FROM pend JOIN h USING (journal) LEFT JOIN l ON l.journal = pend.journal AND l.author = 7 WHERE pending >= 100").replace("SELECT journal, 7", "SELECT pend.journal AS journal, 7"))
+def checkpoint_records(spark, sf_dir):
+    """The checkpoint of every journal in which at least 100 bytes could be removed."""
+    stamped, info, gone = fx.facts(spark, sf_dir)
+    known = stamped.select("journal").distinct().select("journal", F.lit("delete").alias("stale_cleanup"), F.lit(0).alias("every_ms"), F.lit(100).alias("threshold"), F.lit(None).cast("bigint").alias("last_ms"))
+    rows = info.join(gone, ID, "left").withColumn("removed", F.col("removed_epoch").isNotNull())
+    out = writing.checkpoint_records(rows, reads.heads(stamped), known, F.lit(7), chain.last_seqs(stamped), fx.END)
+    return out.select("journal", "author", "author_seq", "kind", scalar.hex_id(F.col("payload")).alias("payload"), "payload_len")
+
+
+@query(o.query(o.SLOTS, _LAST, select="SELECT j.journal, 3 AS author, coalesce(last_seq, 0) + 1 AS author_seq, '01' || lower(substr(sha256(j.journal), 1, 32)) || '0200' || '0c00' || '0100' || '00' || '0f00' || '0800' || lpad(to_hex(CAST(substr(j.journal, 2) AS INTEGER)), 2, '0') || '00000000000000' AS payload FROM (SELECT DISTINCT journal FROM slots) j LEFT JOIN l ON l.journal = j.journal AND l.author = 3"))
+def settings_records(spark, sf_dir):
+    """The entry that freezes each journal and sets its default time to live."""
+    s = fx.slots(spark, sf_dir)
+    names = s.select("journal").distinct()
+    changes = names.select("journal", F.lit("journal.allow_append").alias("key"), F.lit("false").alias("value")).union(names.select("journal", F.lit("ttl.default_ms"), F.substring("journal", 2, 1)))
+    own_id = F.substring(F.unhex(F.sha2(F.col("journal").cast("binary"), 256)), 1, 16)
+    rows = writing.settings_records(changes, F.lit(3), chain.last_seqs(s), own_id)
+    return rows.select("journal", "author", "author_seq", scalar.hex_id(F.col("payload")).alias("payload"))
+
+
+@query("SELECT 'c' AS journal, 1 AS author, row_number() OVER (ORDER BY sha256(n_name)) AS author_seq, substr(sha256(n_name), 1, 32) || lpad(lower(to_hex(length(n_name))), 2, '0') || '00' || lower(hex(n_name)) || '0000' AS payload FROM nation")
+def create_journal_records(spark, sf_dir):
+    """The entries that create a journal for each nation."""
+    names = fx.load(spark, sf_dir, "nation").select(F.lit("c").alias("journal"), F.substring(F.unhex(F.sha2(F.col("n_name").cast("binary"), 256)), 1, 16).alias("id"), F.col("n_name").alias("name"))
+    none = spark.createDataFrame([], "journal string, author int, last_seq bigint")
+    rows = writing.create_journal_records(names, F.lit(1), none)
+    return rows.select("journal", "author", "author_seq", scalar.hex_id(F.col("payload")).alias("payload"))
+
+
+@query("SELECT r_name AS journal, substr(sha256(unhex(sha256(r_name))), 1, 32) AS author, CAST(1 AS BIGINT) AS author_seq, 'genesis' AS kind, sha256(r_name) || '0000' AS payload FROM region")
+def genesis_records(spark, sf_dir):
+    """The first entry of a cluster for each region."""
+    founders = fx.load(spark, sf_dir, "region").select(F.col("r_name").alias("journal"), F.unhex(F.sha2(F.col("r_name").cast("binary"), 256)).alias("founder_key"))
+    rows = writing.genesis_records(founders)
+    return rows.select("journal", scalar.hex_id(F.col("author")).alias("author"), "author_seq", "kind", scalar.hex_id(F.col("payload")).alias("payload"))
+
+
+@query(o.query(o.SLOTS, _LAST, "h AS (SELECT journal, max(epoch) AS e, max_by(seq, epoch * 1000000000 + seq) AS s FROM slots WHERE epoch >= 2 AND event_id % 2 = 1 GROUP BY journal)", select=f"SELECT h.journal AS journal, coalesce(last_seq, 0) + 1 AS author_seq, 'merge' AS kind, {_le_hex('e')} || {_le_hex('s')} AS payload FROM h LEFT JOIN l ON l.journal = h.journal AND l.author = 9"))
+def merge_markers(spark, sf_dir):
+    """The record that opens the merge of each journal's losing branch."""
+    s = fx.slots(spark, sf_dir)
+    rows = writing.merge_markers(reads.heads(fx.branch(s)), F.lit(9).cast("bigint"), chain.last_seqs(s))
+    return rows.select("journal", "author_seq", "kind", scalar.hex_id(F.col("payload")).alias("payload"))
+
+
+@query(o.query(o.SLOTS, "n AS (SELECT *, row_number() OVER (ORDER BY epoch, seq) AS place FROM slots WHERE journal = 'j1' AND epoch >= 2 AND event_id % 2 = 1)", select="SELECT journal, epoch, seq, author, author_seq, kind FROM slots WHERE journal <> 'j1' OR (epoch, seq) <= (1, 30) UNION ALL SELECT journal, 4, place, author, author_seq, kind FROM n"))
+def truncate_and_refold(spark, sf_dir):
+    """A journal cut at the common prefix and continued with what was slotted again, in a new term."""
+    s = fx.slots(spark, sf_dir)
+    again = merge.reslot(s.where("journal = 'j1' and (epoch = 1 and seq <= 30)"), fx.branch(s).where("journal = 'j1'"), 4, 1706700000000)
+    columns = ["journal", "epoch", "seq", "author", "author_seq", "kind"]
+    return writing.refold(s.select(*columns), "j1", (1, 30), again.select(*columns))
+
+
+# --- the control chain --------------------------------------------------------------------------------------------
+
+
+_CONTROL = """
+cf AS (SELECT journal, event_type, k, author % 12 AS m, 1 + row_number() OVER (PARTITION BY journal ORDER BY event_id) AS seq FROM slots WHERE event_type IN ('signup', 'error') OR (event_type = 'purchase' AND k < 10)),
+mv AS (SELECT *, lag(event_type) OVER (PARTITION BY journal, m ORDER BY seq) AS p FROM cf WHERE event_type = 'error' OR (event_type = 'signup' AND k % 10 <> 9)),
+oc AS (SELECT journal, seq, m, k, 'join' AS kind, CASE WHEN p = 'signup' THEN 'already_member' ELSE 'apply' END AS outcome FROM mv WHERE event_type = 'signup'
+  UNION ALL SELECT journal, seq, m, k, 'join', 'bad_join' FROM cf WHERE event_type = 'signup' AND k % 10 = 9
+  UNION ALL SELECT journal, seq, m, k, 'leave', CASE WHEN coalesce(p, 'error') = 'error' THEN 'bad_leave' ELSE 'apply' END FROM mv WHERE event_type = 'error'
+  UNION ALL SELECT journal, seq, m, k, 'create_journal', CASE WHEN row_number() OVER (PARTITION BY journal, k ORDER BY seq) > 1 THEN 'journal_exists' ELSE 'apply' END FROM cf WHERE event_type = 'purchase'
+  UNION ALL SELECT DISTINCT journal, 1, -1, 0, 'genesis', 'apply' FROM slots)"""
+
+
+@query(o.query(o.SLOTS, _CONTROL, select="SELECT journal, seq, kind, outcome, CAST(sum(CASE WHEN outcome <> 'apply' THEN 0 WHEN kind IN ('genesis', 'join') THEN 1 WHEN kind = 'leave' THEN -1 ELSE 0 END) OVER w AS BIGINT) AS n_members, CAST(sum(CASE WHEN outcome = 'apply' AND kind = 'create_journal' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_journals FROM oc WINDOW w AS (PARTITION BY journal ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+def control_fold(spark, sf_dir):
+    """What every record of eight control chains does, from its stored bytes."""
+    return control.fold(fx.control_records(spark, sf_dir)).select(F.col("cluster").alias("journal"), "seq", "kind", "outcome", "n_members", "n_journals")
+
+
+def _member_sql(m: str) -> str:
+    return f"substr(sha256(unhex(sha256(CAST({m} AS VARCHAR)))), 1, 32)"
+
+
+@query(o.query(o.SLOTS, _CONTROL, "lm AS (SELECT *, row_number() OVER (PARTITION BY journal, m ORDER BY seq DESC) AS r FROM oc WHERE outcome = 'apply' AND kind IN ('genesis', 'join', 'leave'))", select=f"SELECT journal, {_member_sql('m')} AS member, CASE WHEN kind = 'genesis' THEN '' ELSE 'host-' || m END AS address, seq AS joined_seq FROM lm WHERE r = 1 AND kind <> 'leave'"))
+def control_members(spark, sf_dir):
+    m = control.members(control.fold(fx.control_records(spark, sf_dir)))
+    return m.select(F.col("cluster").alias("journal"), scalar.hex_id(F.col("member")).alias("member"), "address", "joined_seq")
+
+
+@query(o.query(o.SLOTS, _CONTROL, select="SELECT journal, 'name-' || k AS name, seq AS created_seq FROM oc WHERE kind = 'create_journal' AND outcome = 'apply'"))
+def control_journals(spark, sf_dir):
+    return control.journals(control.fold(fx.control_records(spark, sf_dir))).select(F.col("cluster").alias("journal"), "name", "created_seq")
+
+
+@query(o.query(o.SLOTS, _CONTROL, "em AS (SELECT *, row_number() OVER (PARTITION BY journal, m ORDER BY seq DESC) AS r FROM oc WHERE outcome = 'apply' AND kind IN ('genesis', 'join', 'leave') AND seq <= 20)", select=f"SELECT journal, {_member_sql('m')} AS member FROM em WHERE r = 1 AND kind <> 'leave'"))
+def members_as_of(spark, sf_dir):
+    """Who was a member at the twentieth record."""
+    m = control.members_as_of(control.fold(fx.control_records(spark, sf_dir)), (1, 20))
+    return m.select(F.col("cluster").alias("journal"), scalar.hex_id(F.col("member")).alias("member"))
+
+
+@query(o.query(o.SLOTS, _TERMS, "okt AS (SELECT journal, epoch, led AS leader FROM tl WHERE number = epoch AND (pn IS NULL OR (number = pn + 1 AND CASE WHEN author = p THEN slot_leader = p ELSE author = led AND slot_leader = led END)))", "top AS (SELECT journal, max(epoch) AS e FROM okt GROUP BY journal)", select="SELECT s.journal, s.epoch, s.seq, okt.leader AS term_leader, s.author = okt.leader AS by_leader, c.leader AS current_leader FROM slots s LEFT JOIN okt ON okt.journal = s.journal AND okt.epoch = s.epoch LEFT JOIN top ON top.journal = s.journal LEFT JOIN okt c ON c.journal = s.journal AND c.epoch = top.e"))
+def slot_terms(spark, sf_dir):
+    """Every slot with who led its term, whether that is its author, and who leads now."""
+    accepted = terms(spark, sf_dir).where("refusal is null").select("journal", "epoch", "leader")
+    s = control.with_term_leader(fx.slots(spark, sf_dir).select("journal", "epoch", "seq", "author"), accepted, "journal")
+    now = control.current_leaders(accepted, "journal").select("journal", F.col("leader").alias("current_leader"))
+    return s.join(now, "journal", "left").select("journal", "epoch", "seq", "term_leader", (F.col("author") == F.col("term_leader")).alias("by_leader"), "current_leader")
+
+
+@query(o.query(o.SLOTS, o.EVENTS, select="SELECT cluster, epoch, seq, member, what FROM ok"))
+def member_reslots(spark, sf_dir):
+    """Joins and leaves of a losing branch that change something."""
+    return membership.reslotted(fx.member_events(spark, sf_dir)).select("cluster", "epoch", "seq", "member", "what")
+
+
+@query(o.query(o.SLOTS, o.EVENTS, "p AS (SELECT author AS member, min(k) AS k FROM slots GROUP BY author)", select="SELECT p.member, p.k FROM p WHERE NOT EXISTS (SELECT 1 FROM mem WHERE mem.member = p.member) AND p.k % 2 = 0"))
+def pending_admissions(spark, sf_dir):
+    """Who has asked and waits for an operator's word, without those whom it has admitted."""
+    s = fx.slots(spark, sf_dir)
+    asked = s.groupBy(F.col("author").alias("member")).agg(F.min("k").alias("k"))
+    answered = asked.select("member", F.col("k").alias("public_key"), F.lit("h").alias("address"), F.when(F.col("k") % 2 == 0, "prompt_pending").otherwise("none").alias("answer"))
+    waiting = membership.pending(answered, membership.members(fx.member_events(spark, sf_dir)))
+    return waiting.select("member", F.col("public_key").alias("k"))
+
+
 # --- merge --------------------------------------------------------------------------------------------------------
 
 
@@ -551,15 +856,9 @@ def reslot_no_ops(spark, sf_dir):
 # --- streams and files: rows only ---------------------------------------------------------------------------------
 
 
-def _work(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/chainlake-engine/{what}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Writes rows, streams them through run() until nothing is left, and returns what came out."""
-    folder = _work(spark, name)
+    folder = fx.work_folder(spark, name)
     rows.write.parquet(f"{folder}/in")
     out = run(live.slots_stream(spark, f"{folder}/in", rows.schema))
     if mode == "append":
@@ -582,14 +881,14 @@ def dedup_stream(spark, sf_dir):
     return _streamed(spark, s.union(s.where("author_seq % 3 = 0")), "dedup", live.deduplicated).select(*ID, "entry_hash")
 
 
-@query()
+@query(o.query(o.SLOTS, o.WIDE, o.FORCE, o.STAMPED, select="SELECT journal, author, author_seq, CASE WHEN ttl_action = 'delete' THEN 'expired' ELSE 'stale' END AS becomes, expires_at_ms + ttl_grace_ms AS at_ms FROM st WHERE expires_at_ms + ttl_grace_ms <= (SELECT max(slot_ts_ms) FROM st)"))
 def ttl_timer_stream(spark, sf_dir):
-    """What becomes stale or expired before the chain's last stamp."""
-    s = expiry.stamped(fx.in_force(spark, sf_dir)).select(*ID, "slot_ts_ms", "expires_at_ms", "ttl_action")
+    """What becomes stale or expired, with the grace of its slot, before the last stamp of all."""
+    s = expiry.stamped(fx.in_force(spark, sf_dir)).select(*ID, "epoch", "seq", "slot_ts_ms", "expires_at_ms", "ttl_action", F.col("ttl_grace_ms").cast("bigint").alias("grace_ms"))
     return _streamed(spark, s, "ttl", live.expiries)
 
 
-@query()
+@query(o.query(o.SLOTS, "h AS (SELECT DISTINCT journal AS cluster, author AS member, slot_ts_ms AS t FROM slots)", "g AS (SELECT *, lag(t) OVER (PARTITION BY cluster, member ORDER BY t) AS p, max(t) OVER (PARTITION BY cluster, member) AS last FROM h)", select="SELECT cluster, member, 'member' AS state, t AS at_ms FROM g WHERE p IS NULL OR t - p >= 86400000 UNION ALL SELECT cluster, member, 'lost', p + 86400000 FROM g WHERE t - p >= 86400000 UNION ALL SELECT cluster, member, 'lost', t + 86400000 FROM g WHERE t = last AND t + 86400000 <= (SELECT max(t) FROM h)"))
 def silence_stream(spark, sf_dir):
     """Members as they fall silent for a day and are heard again, and those still silent at the end."""
     h = fx.heartbeats(spark, sf_dir).select("cluster", "member", "heard_ms")
@@ -599,7 +898,7 @@ def silence_stream(spark, sf_dir):
 def binary_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived journals in the binary form, with a real chain of hashes and zero signatures.
 
-    A chain is produced in sequence: one task a journal.
+    A chain of hashes is produced in sequence: one task a journal, which is given nothing but hashes.
     """
     ship(spark)
     s = fx.slots(spark, sf_dir)
@@ -612,28 +911,30 @@ def binary_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = scalar.entry_header(*[F.col(c) for c in ("kind", "journal", "author", "author_seq", "author_ts_ms", "ttl_ms", "payload_len", "payload_hash", "entry_sig")])
     rows = rows.withColumn("entry_hash", scalar.sha256(header))
 
+    linked = ["journal", "epoch", "seq", "slot_ts_ms", "entry_hash", "leader", "slot_sig"]
+
     def link(group: pa.Table) -> pa.Table:
         group = group.sort_by([("epoch", "ascending"), ("seq", "ascending")])
         prev, out = bytes(32), []
-        for r in group.select(["epoch", "seq", "slot_ts_ms", "entry_hash", "leader", "slot_sig"]).to_pylist():
+        for r in group.to_pylist():
             out.append(prev)
             prev = hashlib.sha256(segment.slot_bytes(r | {"prev_slot_hash": prev})).digest()
-        group = group.append_column("prev_slot_hash", pa.array(out, pa.binary()))
-        return group.select(segment.ROW_NAMES).cast(segment.ROW_SCHEMA)
+        return group.select(["journal", "epoch", "seq"]).append_column("prev_slot_hash", pa.array(out, pa.binary()))
 
-    return rows.groupBy("journal").applyInArrow(link, SLOT_ROW)
+    links = rows.select(*linked).groupBy("journal").applyInArrow(link, "journal binary, epoch bigint, seq bigint, prev_slot_hash binary")
+    return rows.join(links, ["journal", "epoch", "seq"]).select(*[F.col(c).cast(t) for c, t in (f.split() for f in SLOT_ROW.split(", "))])
 
 
 @query(o.query(o.SLOTS, select="SELECT lower(substr(sha256(journal), 1, 32)) AS journal, epoch, seq, slot_ts_ms, kind, author_seq, ttl_ms, payload, payload_len FROM slots"))
 def segment_roundtrip(spark, sf_dir):
     """Written as segment files and read back."""
-    folder = _work(spark, "segments")
+    folder = fx.work_folder(spark, "segments")
     segment.write_segments(binary_slots(spark, sf_dir), folder, 1 << 20)
     back = segment.read_segments(spark, folder)
     return back.select(scalar.hex_id(F.col("journal")).alias("journal"), "epoch", "seq", "slot_ts_ms", "kind", "author_seq", "ttl_ms", F.col("payload").cast("string").alias("payload"), "payload_len")
 
 
-@query()
+@query(o.query(o.SLOTS, select="SELECT lower(substr(sha256(journal), 1, 32)) AS journal, CAST(NULL AS VARCHAR) AS refusal, count(*) AS n FROM slots GROUP BY 1"))
 def binary_chain_verify(spark, sf_dir):
     """The binary chain verified from the stored predecessors' hashes; no row is refused."""
     b = binary_slots(spark, sf_dir)
@@ -642,11 +943,17 @@ def binary_chain_verify(spark, sf_dir):
     return chain.continuity(named).groupBy("journal", "refusal").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey % 3 <> 0 AS signature_ok FROM nation")
 def signature_verify(spark, sf_dir):
-    """Signatures of a few statements by the regions' keys, each checked; every third is forged."""
-    region = fx.load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").cast("binary").alias("message"))
-    secret = lambda i: hashlib.sha256(str(i).encode()).digest()
-    signed = [(i, ed25519.public_key(secret(i)), ed25519.sign(secret(i), r["message"]) if i % 3 else bytes(64)) for i, r in ((r["id"], r) for r in region.collect())]
-    keys = spark.createDataFrame(signed, "id bigint, public_key binary, signature binary")
-    return ed25519.with_verdict(region.join(keys, "id"), "public_key", "message", "signature").select("id", "signature_ok")
+    """Signatures of a statement by each nation's key, each checked; every third is forged."""
+    ship(spark)
+    names = fx.load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").cast("binary").alias("message"))
+
+    def sign(batches):
+        for batch in batches:
+            keys = [hashlib.sha256(str(i).encode()).digest() for i in batch.column("id").to_pylist()]
+            signed = [ed25519.sign(k, m) if i % 3 else bytes(64) for k, i, m in zip(keys, batch.column("id").to_pylist(), batch.column("message").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(ed25519.public_key, keys), pa.binary()), pa.array(signed, pa.binary())], ["id", "message", "public_key", "signature"])
+
+    signed = names.mapInArrow(sign, "id bigint, message binary, public_key binary, signature binary")
+    return ed25519.with_verdict(signed, "public_key", "message", "signature").select("id", "signature_ok")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -24,5 +25,6 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(top)))
         sc.addPyFile(path)
+        atexit.register(lambda: os.path.exists(path) and os.remove(path))
         _shipped.add(sc.applicationId)
     return spark

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.scalar import sat_sub
+from ..functions.scalar import sat_add, sat_sub
 from ..operators.reads import Position, at_or_after
 from ..schema import ID
 from ..shipping import ship
@@ -27,10 +27,12 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 ROCKS_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
-def slots_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
-    """A stored journal as a stream; files that are added later are pushed."""
+def slots_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
+    """A stored journal as a stream; files that are added later are pushed. A backfill takes so many files or bytes at a time."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
+    for option, value in (("maxFilesPerTrigger", files_per_batch), ("maxBytesPerTrigger", bytes_per_batch)):
+        reader = reader if value is None else reader.option(option, value)
+    return reader.parquet(path)
 
 
 def follow(slots: DataFrame, journal=None, cursor: Position = (1, 1)) -> DataFrame:
@@ -51,8 +53,20 @@ def deliver(slots: DataFrame, callback: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def with_rocks(spark: SparkSession) -> SparkSession:
+    """Stateful processors need this store. The session's setting is changed only where it is unset or not this one."""
+    ship(spark)
+    if spark.conf.get(ROCKS_KEY, None) != ROCKS:
+        spark.conf.set(ROCKS_KEY, ROCKS)
+    return spark
+
+
 class SilenceDetector(StatefulProcessor):
-    """Emits a member as lost when it has been silent for a time, and as a member when it is heard again."""
+    """Emits a member as lost when it has been silent for a time, and as a member when it is heard again.
+
+    A gap between two heartbeats is found when the second comes, whether or not a timer has run out between, so what is
+    emitted doesn't depend on how the stream is cut into batches.
+    """
 
     def __init__(self, suspect_after_ms: int):
         self.suspect_after_ms = suspect_after_ms
@@ -63,15 +77,23 @@ class SilenceDetector(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         heard, lost = self.last.get() if self.last.exists() else (-1, True)
-        newest = max(int(r["heard_ms"].max()) for r in rows)
-        if newest <= heard:
-            return
+        changes = []
+        for t in sorted({int(t) for r in rows for t in r["heard_ms"]}):
+            if t <= heard:
+                continue
+            if not lost and t - heard >= self.suspect_after_ms:
+                changes.append(("lost", heard + self.suspect_after_ms))
+                lost = True
+            if lost:
+                changes.append(("member", t))
+            heard, lost = t, False
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.last.update((newest, False))
-        self.handle.registerTimer(newest + self.suspect_after_ms)
-        if lost:
-            yield pd.DataFrame({"cluster": [key[0]], "member": [key[1]], "state": ["member"], "at_ms": [newest]})
+        self.last.update((heard, lost))
+        if not lost:
+            self.handle.registerTimer(heard + self.suspect_after_ms)
+        if changes:
+            yield pd.DataFrame([(key[0], key[1], *c) for c in changes], columns=["cluster", "member", "state", "at_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         heard, _ = self.last.get()
@@ -84,8 +106,7 @@ class SilenceDetector(StatefulProcessor):
 
 def silence(heartbeats: DataFrame, suspect_after_ms: int, delay: str = "0 seconds") -> DataFrame:
     """A stream of (cluster, member, state, at_ms) changes from one of heartbeats (cluster, member, heard_ms)."""
-    spark = ship(heartbeats.sparkSession)
-    spark.conf.set(ROCKS_KEY, ROCKS)
+    with_rocks(heartbeats.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in heartbeats.schema}
     timed = heartbeats.withColumn("heard", F.timestamp_millis("heard_ms")).withWatermark("heard", delay)
     return timed.groupBy("cluster", "member").transformWithStateInPandas(
@@ -94,23 +115,31 @@ def silence(heartbeats: DataFrame, suspect_after_ms: int, delay: str = "0 second
 
 
 class ExpiryTimer(StatefulProcessor):
-    """Emits an entry when its expiry instant, and the grace, have passed; forgets it then."""
+    """Emits an entry when its expiry instant and the grace have passed; forgets it then.
+
+    The last position of an entry counts: slotted again, it has the new stamp, or none (-1). Only entries that wait for
+    their instant are kept.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "expires_at_ms bigint, ttl_action string")
+        self.entry = handle.getValueState("entry", "epoch bigint, seq bigint, at_ms bigint, ttl_action string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for r in rows:
-            last = r.iloc[-1]
+        known = self.entry.get() if self.entry.exists() else None
+        last = max((x for r in rows for x in zip(r["epoch"], r["seq"], r["at_ms"], r["ttl_action"])), key=lambda x: (x[0], x[1]))
+        if known is None or (known[0], known[1]) <= (last[0], last[1]):
             for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)  # slotted again: the new stamp counts
-            self.entry.update((int(last["expires_at_ms"]), last["ttl_action"]))
-            self.handle.registerTimer(int(last["expires_at_ms"]))
+                self.handle.deleteTimer(t)
+            if last[2] < 0:
+                self.entry.clear()
+            else:
+                self.entry.update((int(last[0]), int(last[1]), int(last[2]), last[3]))
+                self.handle.registerTimer(int(last[2]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, action = self.entry.get()
+        *_, at, action = self.entry.get()
         self.entry.clear()
         yield pd.DataFrame({"journal": [key[0]], "author": [key[1]], "author_seq": [key[2]], "becomes": ["expired" if action == "delete" else "stale"], "at_ms": [at]})
 
@@ -119,12 +148,15 @@ class ExpiryTimer(StatefulProcessor):
 
 
 def expiries(stamped: DataFrame) -> DataFrame:
-    """A stream of what becomes stale or expired as the chain's time moves on. ``stamped``: see expiry.stamped()."""
-    spark = ship(stamped.sparkSession)
-    spark.conf.set(ROCKS_KEY, ROCKS)
+    """A stream of what becomes stale or expired as the chains' time moves on.
+
+    ``stamped``: see expiry.stamped(), with epoch and seq, and grace_ms if there is a grace.
+    """
+    with_rocks(stamped.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in stamped.schema}
-    timed = stamped.withColumn("slot_time", F.timestamp_millis("slot_ts_ms")).withWatermark("slot_time", "0 seconds").where("expires_at_ms is not null")
-    return timed.groupBy(*ID).transformWithStateInPandas(
+    grace = F.col("grace_ms") if "grace_ms" in stamped.columns else F.lit(0).cast("bigint")
+    timed = stamped.withColumn("slot_time", F.timestamp_millis("slot_ts_ms")).withColumn("at_ms", F.coalesce(sat_add(F.col("expires_at_ms"), grace), F.lit(-1).cast("bigint"))).withWatermark("slot_time", "0 seconds")
+    return timed.select(*ID, "epoch", "seq", "at_ms", "ttl_action", "slot_time").groupBy(*ID).transformWithStateInPandas(
         ExpiryTimer(), ", ".join(f"{c} {kinds[c]}" for c in ID) + ", becomes string, at_ms bigint", "Append", "EventTime"
     )
 
@@ -134,23 +166,48 @@ def late_by(slots: DataFrame, now_ms: int) -> DataFrame:
     return slots.groupBy("journal").agg(F.max("slot_ts_ms").alias("head_ms")).withColumn("behind_ms", sat_sub(F.lit(now_ms), F.col("head_ms")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def ingest(queue: DataFrame, table_path: str, checkpoint: str, slot: Callable[[DataFrame, DataFrame | None], DataFrame]) -> StreamingQuery:
-    """Slots the entries of a queue stream: each micro-batch is given its slots after the stored head and appended.
+    """Slots the entries of a queue stream: each micro-batch is given its slots after the stored heads and appended.
+
+    ``slot(batch, heads)`` returns the rows to append, with epoch, seq and slot_ts_ms, and refusal for those that are
+    not (see writing.append()); heads has journal, epoch, seq, slot_ts_ms, and is None before anything is stored. Rows go
+    to table_path, refused ones to table_path-refused, and what the next batch has to know to table_path-state: by journal
+    its head, by author the last number. A number at or below the last one was delivered before and is left out. So a
+    batch reads as much as there are journals and authors, however long the chains are.
 
-    A batch is a folder of its own number, written over if it runs again, so a restart neither loses nor doubles it.
-    ``slot(batch, stored)`` returns the rows to append; entries that are stored already are left out before.
+    A batch writes folders of its own number, over what it may have written before, so a restart neither loses nor
+    doubles it.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = f"{table_path}/batch={number}"
-        try:
-            stored = spark.read.parquet(table_path).where(F.col("batch") != number).drop("batch")
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None
-        new = batch if stored is None else batch.join(stored.select(*ID), ID, "left_anti")
-        slot(new.dropDuplicates(ID), stored).write.mode("overwrite").parquet(base)
+        state = heads = None
+        for k in range(number - 1, -1, -1):
+            if exists(spark, f"{table_path}-state/batch={k}/_SUCCESS"):
+                state = spark.read.parquet(f"{table_path}-state/batch={k}")
+                heads = state.where("author is null").select("journal", "epoch", "seq", "slot_ts_ms")
+                break
+        new = batch.dropDuplicates(ID)
+        if state is not None:
+            last = state.where("author is not null").select("journal", F.col("author").alias("_a"), F.col("last_seq").alias("_last"))
+            seen = (new["journal"] == last["journal"]) & (new["author"] == last["_a"]) & (new["author_seq"] <= last["_last"])
+            new = new.join(last, seen, "left_anti")
+        judged = slot(new, heads)
+        refused = F.col("refusal").isNotNull() if "refusal" in judged.columns else F.lit(False)
+        judged.where(refused).write.mode("overwrite").parquet(f"{table_path}-refused/batch={number}")
+        judged.where(~refused).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        done = spark.read.schema(judged.schema).parquet(f"{table_path}/batch={number}")
+        nothing = lambda *names: [F.lit(None).cast("bigint").alias(n) for n in names]
+        authors = done.select("journal", "author", F.col("author_seq").cast("bigint").alias("last_seq"), *nothing("epoch", "seq", "slot_ts_ms"))
+        tops = done.select("journal", F.lit(None).cast(done.schema["author"].dataType).alias("author"), *nothing("last_seq"), *[F.col(c).cast("bigint") for c in ("epoch", "seq", "slot_ts_ms")])
+        both = authors.union(tops) if state is None else authors.union(tops).unionByName(state.select("journal", "author", "last_seq", "epoch", "seq", "slot_ts_ms"))
+        top = F.max(F.struct("epoch", "seq", "slot_ts_ms")).alias("h")
+        left = both.groupBy("journal", "author").agg(F.max("last_seq").alias("last_seq"), top).select("journal", "author", "last_seq", "h.*")
+        left.write.mode("overwrite").parquet(f"{table_path}-state/batch={number}")
 
     return queue.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -59,3 +59,25 @@ def test_a_mark_needs_staleness_its_author_and_an_earlier_target(spark):
     rows = [("j", 1, 1, "data", 7, 1, None, None, "author"), ("j", 1, 2, "stale", 7, 2, 7, 1, "off"), ("j", 1, 3, "stale", 8, 1, 7, 1, "author"), ("j", 1, 4, "stale", 7, 3, 7, 1, "author"), ("j", 1, 5, "stale", 7, 4, 7, 1, "author"), ("j", 1, 6, "stale", 7, 5, 7, 9, "author"), ("j", 1, 7, "data", 7, 9, None, None, "author")]
     df = spark.createDataFrame(rows, "journal string, epoch bigint, seq bigint, kind string, author bigint, author_seq bigint, target_author bigint, target_seq bigint, stale_enforce string")
     assert [tuple(r) for r in expiry.stale_marks(df).select(*ID, "stale_seq").collect()] == [("j", 7, 1, 4)]
+
+
+def test_a_removed_entry_stays_removed_when_it_is_slotted_again(spark):
+    """Data at 1:1, a checkpoint at 1:2 that removes it, the same id again at 1:3; and one whose second stamp is later."""
+    rows = [("j", 7, 1, 1, 1, 10, "data", 50), ("j", 7, 2, 1, 2, 11, "data", 50), ("j", 7, 2, 1, 3, 12, "data", 900), ("j", 7, 1, 1, 5, 101, "data", 200)]
+    info = spark.createDataFrame([(*r[:6], r[6], "h", 1, 40, r[7], "delete") for r in rows], "journal string, author bigint, author_seq bigint, epoch bigint, seq bigint, slot_ts_ms bigint, kind string, entry_hash string, payload_len bigint, effective_ttl_ms bigint, expires_at_ms bigint, ttl_action string")
+    marks = spark.createDataFrame([], "journal string, author bigint, author_seq bigint, stale_epoch bigint, stale_seq bigint")
+    checkpoints = spark.createDataFrame([("j", 1, 4, 100, "keep"), ("j", 1, 6, 102, "keep")], "journal string, epoch bigint, seq bigint, slot_ts_ms bigint, stale_cleanup string")
+    for find in (expiry.removals, expiry.removals_by_join):
+        assert [tuple(r) for r in find(expiry.occurrences(info, marks), checkpoints).collect()] == [("j", 7, 1, 1, 4)]
+
+
+def test_again_and_checkpoints_that_reach_less_far(spark, monkeypatch):
+    """The lookups against the definition, with entries slotted again, and with rows of a journal spread over tasks."""
+    from chainlake.plans import queries
+
+    monkeypatch.setattr(expiry, "LOOKUP", 40)
+    _, occurrences, checkpoints = queries._again(spark, "/root/testdata/sf0.001")
+    served = checkpoints.where("verdict = 'apply'")
+    got, want = expiry.removals(occurrences, served), expiry.removals_by_join(occurrences, served)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+    assert {r["verdict"] for r in checkpoints.select("verdict").distinct().collect()} == {"apply", "no_op", "bad_checkpoint", "merge_settling"}
