@@ -603,13 +603,14 @@ def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose fp is in ``wanted`` (fp, each once).
 
     First a bitmap of MAP_BITS hashed places, 131,072 words at any size, is broadcast, so that rows that aren't wanted
-    mostly stay out of the join's shuffle as long as less than millions are wanted; then the join decides.
+    mostly stay out of the join's shuffle as long as less than millions are wanted; then the join decides. It is an inner
+    join, as a semi-join would be pushed below the one with the bitmap.
     """
     place = F.pmod(F.xxhash64("fp"), F.lit(MAP_BITS))
     bit = lambda: F.expr("shiftleft(1L, cast(place % 64 as int))")
     words = wanted.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit()).alias("bits"))
     likely = rows.withColumn("place", place).withColumn("word", F.floor(F.col("place") / 64)).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit()) != 0)
-    return likely.select(*rows.columns).join(wanted, "fp", "left_semi")
+    return likely.select(*rows.columns).join(wanted, "fp")
 
 
 def distance_at(similarity: float, bits: int, deviations: float = 0) -> float:
