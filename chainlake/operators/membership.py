@@ -16,7 +16,8 @@ def verdicts(events: DataFrame) -> DataFrame:
     """events with ``refusal``: a join of a member is refused, and a leave of someone who isn't one.
 
     Whatever happens to an event, after a join its member is in and after a leave out. So an event is refused exactly
-    if it says what the member's previous event said; nothing is folded in sequence.
+    if it says what the member's previous event said; nothing is folded in sequence. Who may write an event, keys and the
+    rules of the whole state are control.fold()'s to judge; this takes what it has let pass, or events without those.
     """
     w = Window.partitionBy("cluster", "member").orderBy("epoch", "seq")
     before = F.coalesce(F.lag("what").over(w), F.lit("leave"))

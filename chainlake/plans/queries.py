@@ -95,6 +95,12 @@ def journal_by_name(spark, sf_dir):
     return reads.journal_by_name(_names(spark, sf_dir), "BUILDING")
 
 
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey = 1")
+def control_journal_by_name(spark, sf_dir):
+    """The control journal has a name of its own."""
+    return reads.journal_by_name(_names(spark, sf_dir), "__cluster__")
+
+
 @query(o.query(o.SLOTS, select="SELECT journal, epoch || ':' || seq AS pos, author || ':' || author_seq AS id, kind, payload FROM slots WHERE journal = 'j1'"))
 def cli_projection(spark, sf_dir):
     return reads.projection(reads.scan(fx.slots(spark, sf_dir), "j1"))
@@ -566,19 +572,35 @@ def members_listing(spark, sf_dir):
     return membership.listing(m, m.groupBy("cluster").agg(F.min("member").alias("leader")))
 
 
-@query("""
+def _admission_sql(others: str) -> str:
+    return f"""
 WITH h AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'bad address' ELSE 'host' || c_custkey END AS address, c_custkey % 7 AS s, c_custkey % 17 AS g, c_custkey % 5 AS m, c_mktsegment AS seg FROM customer)
-SELECT id, CASE WHEN s = 0 THEN 'not_allowlisted' WHEN id % 11 = 0 THEN 'not_allowlisted' WHEN id = 1 THEN 'none' WHEN g = 3 THEN 'wrong_genesis' WHEN m = 0 THEN 'none' WHEN seg = 'BUILDING' THEN 'none' ELSE 'not_allowlisted' END AS answer FROM h""")
-def admission(spark, sf_dir):
-    key = F.col("c_custkey")
-    public = lambda k: F.unhex(F.sha2(k.cast("string"), 256))
-    c = fx.load(spark, sf_dir, "customer").withColumn("public_key", public(key))
-    own = F.substring(F.unhex(F.sha2("public_key", 256)), 1, 16)
-    genesis = F.when(key % 17 == 3, F.lit(b"other")).when(key % 2 == 0, F.lit(b"mine"))
-    hellos = c.select(key.alias("id"), F.when(key % 7 == 0, F.lit(b"somebody")).otherwise(own).alias("member"), "public_key", F.when(key % 11 == 0, "bad address").otherwise(F.concat(F.lit("host"), key.cast("string"))).alias("address"), genesis.alias("genesis"))
-    members = c.where(key % 5 == 0).select(own.alias("member"), "public_key")
-    me = bytes.fromhex("6b86b273ff34fce19d6b804eff5a3f5747ada4eaa22f1d49c01e52ddb7875b4b")  # SHA-256 of "1"
-    return membership.admission(hellos, members, c.where("c_mktsegment = 'BUILDING'").select("public_key"), "allowlist", 1000000, me, b"mine").select("id", "answer")
+SELECT id, CASE WHEN s = 0 THEN 'not_allowlisted' WHEN id % 11 = 0 THEN 'not_allowlisted' WHEN id = 1 THEN 'none' WHEN g = 3 THEN 'wrong_genesis' WHEN m = 0 THEN 'none' ELSE {others} END AS answer FROM h"""
+
+
+def _admission(mode: str, most: int):
+    def run(spark, sf_dir):
+        key = F.col("c_custkey")
+        public = lambda k: F.unhex(F.sha2(k.cast("string"), 256))
+        c = fx.load(spark, sf_dir, "customer").withColumn("public_key", public(key))
+        own = F.substring(F.unhex(F.sha2("public_key", 256)), 1, 16)
+        genesis = F.when(key % 17 == 3, F.lit(b"other")).when(key % 2 == 0, F.lit(b"mine"))
+        hellos = c.select(key.alias("id"), F.when(key % 7 == 0, F.lit(b"somebody")).otherwise(own).alias("member"), "public_key", F.when(key % 11 == 0, "bad address").otherwise(F.concat(F.lit("host"), key.cast("string"))).alias("address"), genesis.alias("genesis"))
+        members = c.where(key % 5 == 0).select(own.alias("member"), "public_key")
+        me = bytes.fromhex("6b86b273ff34fce19d6b804eff5a3f5747ada4eaa22f1d49c01e52ddb7875b4b")  # SHA-256 of "1"
+        return membership.admission(hellos, members, c.where("c_mktsegment = 'BUILDING'").select("public_key"), mode, most, me, b"mine").select("id", "answer")
+
+    return run
+
+
+for _name, _mode, _most, _sql in (
+    ("admission", "allowlist", 1000000, "CASE WHEN seg = 'BUILDING' THEN 'none' ELSE 'not_allowlisted' END"),
+    ("admission_open", "open", 1000000, "'none'"),
+    ("admission_prompt", "prompt", 1000000, "'prompt_pending'"),
+    ("admission_full", "open", 1, "'max_members'"),
+):
+    QUERIES[_name] = _admission(_mode, _most)
+    ORACLE_SQL[_name] = _admission_sql(_sql)
 
 
 def _elect(mode, tiebreak="seniority", fallback="stall"):
@@ -828,6 +850,14 @@ def merge_reslot(spark, sf_dir):
     return out.select(*ID, "branch_epoch", "branch_seq", F.col("epoch").cast("int").alias("epoch"), "seq", "slot_ts_ms")
 
 
+@query(o.query(o.SLOTS, _BRANCH, "nw AS (SELECT * FROM br WHERE NOT EXISTS (SELECT 1 FROM sv WHERE sv.journal = br.journal AND sv.author = br.author AND sv.author_seq = br.author_seq))", select="SELECT journal, author, author_seq, CASE WHEN event_type = 'error' THEN 'leave' ELSE kind END AS kind, row_number() OVER (PARTITION BY journal ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, epoch, seq) AS seq FROM nw"))
+def merge_reslot_leaves(spark, sf_dir):
+    """A branch with leaves among its records: they come last, in a term of their own."""
+    s = fx.slots(spark, sf_dir)
+    branch = fx.branch(s).withColumn("kind", F.when(F.col("event_type") == "error", "leave").otherwise(F.col("kind")))
+    return merge.reslot(fx.survivor(s), branch, 4, 1706700000000).select(*ID, "kind", "seq")
+
+
 @query(o.query(o.SLOTS, "b AS (SELECT *, CASE WHEN epoch >= 2 AND seq > 10 THEN '' ELSE slot_hash END AS h FROM slots)", "d AS (SELECT journal, min(epoch * 1000000000 + seq) AS cut FROM b WHERE h <> slot_hash GROUP BY journal)", select="SELECT s.journal, count(*) FILTER (WHERE cut IS NULL OR epoch * 1000000000 + seq < cut) AS n_common FROM slots s LEFT JOIN d USING (journal) GROUP BY s.journal"))
 def common_prefix(spark, sf_dir):
     s = fx.slots(spark, sf_dir)
@@ -943,6 +973,15 @@ def binary_chain_verify(spark, sf_dir):
     return chain.continuity(named).groupBy("journal", "refusal").agg(F.count("*").alias("n"))
 
 
+@query(o.query(o.SLOTS, select="SELECT lower(substr(sha256(journal), 1, 32)) AS journal, epoch, seq, author_seq % 3 <> 0 OR author_seq % 2 = 0 AS payload_ok FROM slots"))
+def payload_check(spark, sf_dir):
+    """Payloads against the hashes that are signed: every third is forged, of which every second is dropped by compaction."""
+    b = binary_slots(spark, sf_dir)
+    forged, gone = F.col("author_seq") % 3 == 0, F.col("author_seq") % 6 == 0
+    payload = F.when(gone, F.lit(None)).when(forged, F.lit(b"forged")).otherwise(F.col("payload"))
+    return b.select(scalar.hex_id(F.col("journal")).alias("journal"), "epoch", "seq", control.payload_verdict(payload, F.col("payload_hash"), gone).alias("payload_ok"))
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey % 3 <> 0 AS signature_ok FROM nation")
 def signature_verify(spark, sf_dir):
     """Signatures of a statement by each nation's key, each checked; every third is forged."""
