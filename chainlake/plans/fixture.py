@@ -32,7 +32,7 @@ def work_folder(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset and all runs on one machine, one for temporary files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="chainlake-")
         atexit.register(shutil.rmtree, folder, True)

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from chainlake.plans import queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
 
 
