@@ -181,7 +181,7 @@ def ingest(queue: DataFrame, table_path: str, checkpoint: str, slot: Callable[[D
     batch reads as much as there are journals and authors, however long the chains are.
 
     A batch writes folders of its own number, over what it may have written before, so a restart neither loses nor
-    doubles it.
+    doubles it. So the checkpoint belongs to the table: a new one would count its batches from 0 again.
     """
 
     def one(batch: DataFrame, number: int) -> None:
