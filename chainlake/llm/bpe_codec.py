@@ -89,19 +89,35 @@ class PieceIds(Memo):
             self.keep(p, ids)
 
 
-def encode_texts(texts: list[str], known: PieceIds) -> Iterator[list[int]]:
-    """The ids of each text, special strings included; the texts of a call share one index."""
+class Spelled(PieceIds):
+    """By piece the number of its ids, the ids in decimal, and the bytes that they decode to."""
+
+    def of_block(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
+        return [self.spell(ids) for ids in super().of_block(pieces)]
+
+    def spell(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.vocab.bytes_of.__getitem__, ids))
+
+
+def values_of(texts: list[str], known: PieceIds, special: dict) -> Iterator[list]:
+    """For each text what is known of its pieces, and of special strings, in order; the texts of a call share one index."""
     vocab = known.vocab
     cuts = [[p if k % 2 else vocab.pieces(p) for k, p in enumerate(vocab.parts(t))] for t in texts]
     known.learn(set(chain.from_iterable(c for cut in cuts for c in cut[::2])))
     for cut in cuts:
-        ids: list[int] = []
+        out: list = []
         for k, c in enumerate(cut):
             if k % 2:
-                ids.append(vocab.special[c])
+                out.append(special[c])
             else:
-                ids.extend(chain.from_iterable(map(known.__getitem__, c)))
-        yield ids
+                out.extend(map(known.__getitem__, c))
+        yield out
+
+
+def encode_texts(texts: list[str], known: PieceIds) -> Iterator[list[int]]:
+    """The ids of each text, special strings included."""
+    for values in values_of(texts, known, {s: (i,) for s, i in known.vocab.special.items()}):
+        yield list(chain.from_iterable(values))
 
 
 @lru_cache(maxsize=2)
@@ -110,6 +126,11 @@ def piece_ids(vocab_path: str) -> PieceIds:
     return PieceIds(vocabulary(vocab_path))
 
 
+@lru_cache(maxsize=2)
+def spelled(vocab_path: str) -> Spelled:
+    return Spelled(vocabulary(vocab_path))
+
+
 def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
     """The text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
     return b"".join(map(vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -166,22 +187,24 @@ def decode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids
 def codec_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, encoded and decoded in one narrow pass.
 
-    The digests are those of the comma-joined decimal ids and of the decoded text, so no list of ids leaves a task.
+    The digests are those of the comma-joined decimal ids and of the decoded text, so no list of ids leaves a task; what a
+    piece's ids are in decimal and in bytes is remembered with them.
     Null and empty texts have no ids. A null id stays null; repeated rows are encoded each; an empty table gives an
     empty result. Other columns are not read.
     """
     rows = id_and_text(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
-        known, decimal = piece_ids(vocab_path), {i: str(i) for i in vocab.bytes_of}
+        known = spelled(vocab_path)
+        special = {s: known.spell((i,)) for s, i in known.vocab.special.items()}
         for batch in batches:
             n, coded, decoded = [], [], []
             for part in slices(batch.column("text").to_pylist()):
-                for ids in encode_texts(part, known):
-                    n.append(len(ids))
-                    coded.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(decode(ids, vocab).encode()).hexdigest())
+                for values in values_of(part, known, special):
+                    n.append(sum([v[0] for v in values]))
+                    coded.append(hashlib.sha256(",".join([v[1] for v in values]).encode()).hexdigest())
+                    text = b"".join([v[2] for v in values]).decode("utf-8", "replace")
+                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
